@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import best_fit_packing
 from .quality import quality_rules
+from .token_files import token_files
+from .tokens import public
 
 
 def op3_quality_rules(spark, sf_dir):
@@ -12,6 +16,18 @@ def op3_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return best_fit_packing(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
+
+
+def op8_token_files(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
+
+
+def op10_bpe(spark, sf_dir):
+    return encode_decode(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,7 +43,10 @@ FROM n
 def queries():
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_token_files": op8_token_files,
+        "op10_bpe": op10_bpe,
     }
 
 
