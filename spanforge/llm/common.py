@@ -11,6 +11,7 @@ Conventions of this subpackage, unless an operator says otherwise:
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -42,6 +43,7 @@ def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: cuts the lineage and survives the loss of executors."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,3 +71,33 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, n_row
 def let(value, body):
     """body(x), x being the value, which is computed once and not again by each use in a lambda."""
     return F.transform(F.array(value), body)[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id and text, each row with an id of its own, and what brings the ids back: (doc_id, own), or None where they are the table's.
+
+    Only where ids repeat are rows numbered, in order of (doc_id, hash of the text).
+    """
+    rows = no_text_is_empty(docs)
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows, None
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ordered = written(ordered.select(F.col("doc_id").alias("own"), F.monotonically_increasing_id().alias("doc_id"), "text"))
+    return ordered.select("doc_id", "text"), ordered.select("doc_id", "own")
+
+
+def own_ids(out: DataFrame, back: DataFrame | None, *columns: str) -> DataFrame:
+    """out with the table's own ids in the columns."""
+    for c in columns:
+        if back is not None:
+            names = out.columns
+            out = out.join(back.withColumnRenamed("doc_id", c), c).drop(c).withColumnRenamed("own", c).select(*names)
+        out = out.withColumn(c, F.when(F.col(c) != NULL_ID, F.col(c)))
+    return out

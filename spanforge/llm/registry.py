@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import best_fit_packing
 from .quality import quality_rules
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_files import token_files
 from .tokens import public
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op3_quality_rules(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -24,6 +32,10 @@ def op8_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op10_bpe(spark, sf_dir):
     return encode_decode(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
 
@@ -42,10 +54,12 @@ FROM n
 
 def queries():
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_files": op8_token_files,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_bpe": op10_bpe,
     }
 
