@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .near_dup import jaccard_join
 from .packing import best_fit_packing
 from .quality import quality_rules
 from .substring_dedup import substring_dedup
@@ -15,6 +16,10 @@ from .token_files import token_files
 from .tokens import public
 
 
+def op1_jaccard_join(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
@@ -54,6 +59,7 @@ FROM n
 
 def queries():
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
