@@ -52,7 +52,7 @@ class Runs:
     def every(self, n: int) -> np.ndarray:
         """Of all runs of n codes."""
         k = max(0, len(self.sums) - n)
-        return mix((self.sums[n:] - self.sums[:k]) * self.inverse[:k] + np.uint64(n) * np.uint64(BASES[1])) if k else np.empty(0, np.uint64)
+        return mix((self.sums[n:] - self.sums[:k]) * self.inverse[:k] + np.uint64(n * BASES[1] & M64)) if k else np.empty(0, np.uint64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

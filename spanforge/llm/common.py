@@ -79,18 +79,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """doc_id and text, each row with an id of its own, and what brings the ids back: (doc_id, own), or None where they are the table's.
+def identified(docs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, text and the columns in more, each row with an id of its own, and what brings the ids back: (doc_id, own), or None where they are the table's.
 
     Only where ids repeat are rows numbered, in order of (doc_id, hash of the text).
     """
-    rows = no_text_is_empty(docs)
+    rows = no_text_is_empty(docs, *more)
     if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         return rows, None
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered = written(ordered.select(F.col("doc_id").alias("own"), F.monotonically_increasing_id().alias("doc_id"), "text"))
-    return ordered.select("doc_id", "text"), ordered.select("doc_id", "own")
+    ordered = written(ordered.select(F.col("doc_id").alias("own"), F.monotonically_increasing_id().alias("doc_id"), "text", *more))
+    return ordered.drop("own"), ordered.select("doc_id", "own")
 
 
 def own_ids(out: DataFrame, back: DataFrame | None, *columns: str) -> DataFrame:

@@ -109,14 +109,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tr
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: without(x, SPACE) != "")
     # A subquery may not stand in a lambda as written; as a column used once, the optimizer puts it there.
-    rows = docs.withColumn("weights", weights).select(
+    rows = docs.withColumn("_weights", weights).select(
         *keep,
         let(
             hashed(words(text)),
             lambda h: F.struct(
                 F.size(h).cast("long").alias("n_words"),
                 repeated_words(h).alias("n_repeat_words"),
-                F.when(F.size(h) > 0, let(grams(h, buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get("weights", b)) / F.size(g))).otherwise(0.0).alias("score"),
+                F.when(F.size(h) > 0, let(grams(h, buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get("_weights", b)) / F.size(g))).otherwise(0.0).alias("score"),
             ),
         ).alias("w"),
         F.length(without(text, SPACE)).cast("long").alias("word_chars"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .language import language_id
+from .licenses import license_scan
 from .near_dup import jaccard_join
 from .packing import best_fit_packing
 from .quality import quality_rules
@@ -29,6 +31,14 @@ def op3_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
 
@@ -62,6 +72,8 @@ def queries():
         "op1_jaccard_join": op1_jaccard_join,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op4_language_id": op4_language_id,
+        "op6_license_scan": op6_license_scan,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_files": op8_token_files,

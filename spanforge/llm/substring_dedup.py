@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from .codes import Runs, word_codes, words
 from .common import identified, own_ids
@@ -44,8 +45,9 @@ def text_codes(text: str) -> np.ndarray:
     return word_codes(words(text))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept for every row of docs; kept: the words that stay, joined by one space, as UTF-8.
+    The columns in carry stand beside them.
 
     A word goes when a window that covers it also starts in a document with a
     smaller doc_id; windows are judged on the input. Documents with fewer words
@@ -53,8 +55,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
     repeat a doc_id are documents of their own, in order of a hash of their
     text; null ids come first. An empty table gives no rows.
     """
-    rows, back = identified(docs)
-    ranges = repeated(rows, text_codes, cover_anchors(window, period), window, within=False)
+    rows, back = identified(docs, *carry)
+    ranges = repeated(rows.select("doc_id", "text"), text_codes, cover_anchors(window, period), window, within=False)
 
     def remove(batches):
         for b in batches:
@@ -65,7 +67,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
                 n.append(len(found))
                 gone.append(int(mask.sum()))
                 kept.append(b" ".join([w for w, g in zip(found, mask.tolist()) if not g] if gone[-1] else found))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), *(b[c] for c in carry)], ["doc_id", "n_words", "n_removed", "kept", *carry])
 
-    out = rows.join(ranges, "doc_id", "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept binary")
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept binary")
+    schema = StructType([*schema.fields, *(rows.schema[c] for c in carry)])
+    out = rows.join(ranges, "doc_id", "left").mapInArrow(remove, schema)
     return own_ids(out, back, "doc_id")

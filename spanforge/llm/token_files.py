@@ -101,8 +101,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END, sequen
         name, out, at = f"{folder}/{uuid.uuid4().hex}.arrow", None, 0
         for batch in batches:
             starts, sizes = [], []
-            for text in batch["text"]:
-                ids = np.frombuffer(code.ids(text.as_py()) + end.to_bytes(4, "little"), "<u4")
+            for ids in code.each(batch["text"]):
+                ids = np.frombuffer(ids + end.to_bytes(4, "little"), "<u4")
                 out = out or Writer(name, sequence, small)
                 out.add(ids)
                 starts.append(at)

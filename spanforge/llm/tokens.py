@@ -13,6 +13,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PLAIN = re.compile("[\t\n\r -~\xa1-\xac\xae-\xffŒœ–—‘’“”…€]*")
 #: Encodings kept in each of two generations; the older one goes when the newer one is full.
 CACHED = 300_000
+#: Texts encoded together.
+TOGETHER = 64
 #: Characters of a text handled at once.
 BLOCK = 1 << 20
 
@@ -42,6 +44,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.mark = min(t.content for t in self.library.get_added_tokens_decoder().values() if t.special)
+        self.border = "\n" if keeps_space else " \0 "
+        self.border_ids = {b: self.library.encode(b, add_special_tokens=False).ids[0] for b in (self.mark, self.border)}
+        self.simple = re.compile(r" ?\S+").fullmatch if keeps_space else str.isprintable
         self.parts = re.compile(r"\s*\S+|\s+").findall if keeps_space else str.split
         self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         self.cache: dict[str, bytes] = {}
@@ -50,23 +56,58 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def block(self, text: str) -> bytes:
-        parts = self.parts(text)
-        found = list(map(self.cache.get, parts))
-        if None in found:
+    def several(self, parts: list[str]):
+        """(part, ids) of each, encoded in one call, with something between parts that keeps them apart and shows where one ends.
+
+        Where white space is kept, that is a newline between parts of a blank and
+        a word; where it is dropped, a NUL, which plain texts don't have, between
+        blanks. Between the other parts it is a special token.
+        """
+        simple = [p for p in parts if self.simple(p)]
+        rest = [p for p in parts if not self.simple(p)]
+        return [*self.split(simple, self.border), *self.split(rest, self.mark)]
+
+    def split(self, parts: list[str], border: str):
+        if not parts:
+            return ()
+        ids = np.array(self.batch([border.join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(ids == self.border_ids[border])
+        data = ids.tobytes()
+        return zip(parts, [data[4 * a : 4 * b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])])
+
+    def many(self, texts: list[str], long: bool = False) -> list[bytes]:
+        """ids of each text; what the cache lacks is encoded for all of them together. long: never in blocks."""
+        out, open_ = [], []
+        for i, text in enumerate(texts):
+            if "<|" in text or not PLAIN.fullmatch(text):
+                out.append(self.whole(text))
+            elif len(text) > BLOCK and not long:
+                out.append(b"".join(self.many([b], True)[0] for b in blocks(text)))
+            else:
+                parts = self.parts(text)
+                found = list(map(self.cache.get, parts))
+                if None in found:
+                    open_.append((i, parts, found))
+                    out.append(b"")
+                else:
+                    out.append(b"".join(found))
+        if open_:
+            new = {p: self.old.get(p) for _, parts, found in open_ for p, x in zip(parts, found) if x is None}
+            new.update(self.several([p for p, x in new.items() if x is None]))
+            for i, parts, found in open_:
+                out[i] = b"".join([new[p] if x is None else x for p, x in zip(parts, found)])
             if len(self.cache) > CACHED:
                 self.old, self.cache = self.cache, {}
-            new = {p: self.old.get(p) for p, x in zip(parts, found) if x is None}
-            unknown = [p for p, x in new.items() if x is None]
-            new.update(zip(unknown, (np.array(e.ids, dtype="<u4").tobytes() for e in self.batch(unknown, add_special_tokens=False))))
-            found = [new[p] if x is None else x for p, x in zip(parts, found)]
             self.cache.update(new)
-        return b"".join(found)
+        return out
+
+    def each(self, texts):
+        """many() for a column of texts, some at a time."""
+        for k in range(0, len(texts), TOGETHER):
+            yield from self.many(texts[k : k + TOGETHER].to_pylist())
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self.whole(text)
-        return self.block(text) if len(text) <= BLOCK else b"".join(map(self.block, blocks(text)))
+        return self.many([text])[0]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
