@@ -11,7 +11,7 @@ from .test_repeats import plain_words
 def test_stages(spark, tmp_path):
     texts = [*prose(11, 30), *family(4, 30, 90), *family(4, 10, 90)]
     documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     names = docs.columns
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
