@@ -65,6 +65,7 @@ def answer_json(events: Column) -> Column:
 def violations(rows: DataFrame, videos: DataFrame, classes: list[str]) -> DataFrame:
     """problem, video_id, ord of a submission's rows (video_id, entry, ord, class_name, t0, t1, explanation); `entry` counts a video's entries.
 
+    ord is -1 where the problem is no row's.
     Rows of unknown videos and of a video's second entry are not looked at further.
     """
     v = videos.select("video_id", "level", "duration")
@@ -79,7 +80,7 @@ def violations(rows: DataFrame, videos: DataFrame, classes: list[str]) -> DataFr
         out(early.where("level = 1 AND (t0 IS NOT NULL OR t1 IS NOT NULL)"), "times on level 1"),
         out(early.where("level > 1 AND (t0 IS NULL OR t1 IS NULL OR NOT (0 <= t0 AND t0 < t1 AND t1 <= duration))"), "bad times"),
         out(early.where("explanation IS NOT NULL AND NOT (length(explanation) BETWEEN 20 AND 500)"), "explanation length"),
-        v.join(rows, "video_id", "left_anti").select(F.lit("missing id").alias("problem"), "video_id", F.lit(None).cast("long").alias("ord")),
+        v.join(rows, "video_id", "left_anti").select(F.lit("missing id").alias("problem"), "video_id", F.lit(-1).cast("long").alias("ord")),
     ]
     all_ = checks[0]
     for c in checks[1:]:

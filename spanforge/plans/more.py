@@ -160,7 +160,7 @@ UNION ALL SELECT 'class not in vocabulary', video_id, ord FROM f WHERE class_nam
 UNION ALL SELECT 'times on level 1', video_id, ord FROM f WHERE level = 1 AND (t0 IS NOT NULL OR t1 IS NOT NULL)
 UNION ALL SELECT 'bad times', video_id, ord FROM f WHERE level > 1 AND (t0 IS NULL OR t1 IS NULL OR NOT (0 <= t0 AND t0 < t1 AND t1 <= duration))
 UNION ALL SELECT 'explanation length', video_id, ord FROM f WHERE explanation IS NOT NULL AND NOT (length(explanation) BETWEEN 20 AND 500)
-UNION ALL SELECT 'missing id', video_id, NULL FROM v WHERE NOT EXISTS (SELECT 1 FROM sb WHERE sb.video_id = v.video_id)""")
+UNION ALL SELECT 'missing id', video_id, -1 FROM v WHERE NOT EXISTS (SELECT 1 FROM sb WHERE sb.video_id = v.video_id)""")
 def submission_violations(spark, d):
     e = B.table(spark, d, "events").where("user_id % 19 <> 0")
     i, u = F.col("event_id"), F.col("user_id")
