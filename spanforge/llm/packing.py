@@ -68,11 +68,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """doc_id, piece, start, length, ids_crc32 for every piece of every document; a document is its text's ids and `end`."""
 
     def cut(batches):
-        each = encoder(path, False).each
+        ids_of = encoder(path, False).ids
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for i, ids in zip(batch["doc_id"].to_pylist(), each(batch["text"])):
-                ids = memoryview(ids + end.to_bytes(4, "little"))
+            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                ids = memoryview(ids_of(text.as_py()) + end.to_bytes(4, "little"))
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     doc.append(i)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -11,10 +12,24 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters among which only blank, tab, newline and carriage return are white space to every library here.
 PLAIN = re.compile("[\t\n\r -~\xa1-\xac\xae-\xffŒœ–—‘’“”…€]*")
+
+
+def byte_letters() -> list[str]:
+    """The letter for each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows 255 in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+#: Those characters, their letters and numerals, and the byte-level letters they stand for in vocabularies.
+CHARACTERS = [chr(c) for c in range(0x2100) if PLAIN.fullmatch(chr(c))]
+L, N = ("".join(c for c in CHARACTERS if unicodedata.category(c)[0] == k) for k in "LN")
+LETTERS = {ord(c): "".join(byte_letters()[b] for b in c.encode()) for c in CHARACTERS}
+#: The two tokenizers' own splits, fixed values, over those characters; the first keeps white space, the second drops it.
+SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+").findall
+UNSPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+").findall
 #: Encodings kept in each of two generations; the older one goes when the newer one is full.
 CACHED = 300_000
-#: Texts encoded together.
-TOGETHER = 64
 #: Characters of a text handled at once.
 BLOCK = 1 << 20
 
@@ -34,7 +49,8 @@ class Encoder:
 
     Both kinds of tokenizer split at white space before their merges, so a plain
     text's ids are those of its parts joined: of its words where white space is
-    dropped, of words with the white space before them where it is kept. Texts
+    dropped, of words with the white space before them where it is kept. A part
+    that the cache lacks is split here and merged by the library's model. Texts
     with other characters go to the library whole.
     """
 
@@ -44,70 +60,46 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.mark = min(t.content for t in self.library.get_added_tokens_decoder().values() if t.special)
-        self.border = "\n" if keeps_space else " \0 "
-        self.border_ids = {b: self.library.encode(b, add_special_tokens=False).ids[0] for b in (self.mark, self.border)}
-        self.simple = re.compile(r" ?\S+").fullmatch if keeps_space else str.isprintable
+        self.merge, self.keeps_space = self.library.model.tokenize, keeps_space
+        self.pieces = SPACED if keeps_space else UNSPACED
+        self.known: dict[str, bytes] = {}
         self.parts = re.compile(r"\s*\S+|\s+").findall if keeps_space else str.split
-        self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def several(self, parts: list[str]):
-        """(part, ids) of each, encoded in one call, with something between parts that keeps them apart and shows where one ends.
-
-        Where white space is kept, that is a newline between parts of a blank and
-        a word; where it is dropped, a NUL, which plain texts don't have, between
-        blanks. Between the other parts it is a special token.
-        """
-        simple = [p for p in parts if self.simple(p)]
-        rest = [p for p in parts if not self.simple(p)]
-        return [*self.split(simple, self.border), *self.split(rest, self.mark)]
-
-    def split(self, parts: list[str], border: str):
-        if not parts:
-            return ()
-        ids = np.array(self.batch([border.join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = np.flatnonzero(ids == self.border_ids[border])
-        data = ids.tobytes()
-        return zip(parts, [data[4 * a : 4 * b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])])
-
-    def many(self, texts: list[str], long: bool = False) -> list[bytes]:
-        """ids of each text; what the cache lacks is encoded for all of them together. long: never in blocks."""
-        out, open_ = [], []
-        for i, text in enumerate(texts):
-            if "<|" in text or not PLAIN.fullmatch(text):
-                out.append(self.whole(text))
-            elif len(text) > BLOCK and not long:
-                out.append(b"".join(self.many([b], True)[0] for b in blocks(text)))
-            else:
-                parts = self.parts(text)
-                found = list(map(self.cache.get, parts))
-                if None in found:
-                    open_.append((i, parts, found))
-                    out.append(b"")
-                else:
-                    out.append(b"".join(found))
-        if open_:
-            new = {p: self.old.get(p) for _, parts, found in open_ for p, x in zip(parts, found) if x is None}
-            new.update(self.several([p for p, x in new.items() if x is None]))
-            for i, parts, found in open_:
-                out[i] = b"".join([new[p] if x is None else x for p, x in zip(parts, found)])
+    def part(self, part: str) -> bytes:
+        """ids of a part of a plain text: the library's model merges each piece of its split."""
+        out = []
+        for piece in self.pieces(part if self.keeps_space else part.lower()):
+            ids = self.known.get(piece)
+            if ids is None:
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(piece.translate(LETTERS))])
+                if len(self.known) > CACHED:
+                    self.known.clear()
+                self.known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def block(self, text: str) -> bytes:
+        parts = self.parts(text)
+        found = list(map(self.cache.get, parts))
+        if None in found:
             if len(self.cache) > CACHED:
                 self.old, self.cache = self.cache, {}
-            self.cache.update(new)
-        return out
-
-    def each(self, texts):
-        """many() for a column of texts, some at a time."""
-        for k in range(0, len(texts), TOGETHER):
-            yield from self.many(texts[k : k + TOGETHER].to_pylist())
+            for i, x in enumerate(found):
+                if x is None:
+                    p = parts[i]
+                    found[i] = self.cache.get(p) or self.old.get(p) or self.part(p)
+                    self.cache[p] = found[i]
+        return b"".join(found)
 
     def ids(self, text: str) -> bytes:
-        return self.many([text])[0]
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return self.whole(text)
+        return self.block(text) if len(text) <= BLOCK else b"".join(map(self.block, blocks(text)))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
