@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import no_text_is_empty, null_id
-from .tokens import BLOCK, CACHED, PLAIN, blocks
+from .tokens import BLOCK, PLAIN, blocks, byte_letters
 
+#: Words kept in each of two generations, and parts kept.
+CACHED = 300_000
 #: White space of the tokenizer's patterns, fixed by Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -32,13 +34,6 @@ def splitter():
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{numeral}]|[^{WHITE}{letter}{numeral}]+").findall
 
 
-def byte_letters() -> list[str]:
-    """The letter for each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows 255 in order."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 #: The letters in order of their bytes, and back.
 LETTERS = byte_letters()
 BYTES = {c: b for b, c in enumerate(LETTERS)}
@@ -123,24 +118,25 @@ class Transducer:
         self.last = [("", 0)]  # of each prefix from the stable point on: its last token and that token's length
         self.new = 0
 
-    def push(self, x: str) -> None:
-        """Most symbols leave several tokens to try; a symbol not in the vocabulary is dropped, as the library does."""
-        m, i = self.m, len(self.text) + 1
-        self.text.append(x)
-        token = ""
-        for n in range(1, min(i, m.ends.get(x, 1)) + 1):
-            token = self.text[i - n] + token
-            if token in m.tokens and m.holds(self.last[i - n][0], token):
-                self.last.append((token, n))
-                return
-        raise ValueError(f"no token ends at {x!r}")
-
     def feed(self, symbols) -> list[str]:
-        out = []
+        out, m = [], self.m
+        tokens, ends, known = m.tokens, m.ends, m.pairs
         for x in symbols:
-            self.push(x)
+            text, last = self.text, self.last
+            text.append(x)
+            i, token = len(text), ""
+            for n in range(1, min(i, ends.get(x, 1)) + 1):
+                token = text[i - n] + token
+                if token in tokens:
+                    left = last[i - n][0]
+                    ok = known.get((left, token))
+                    if m.holds(left, token) if ok is None else ok:
+                        last.append((token, n))
+                        break
+            else:
+                raise ValueError(f"no token ends at {x!r}")
             self.new += 1
-            if self.new >= 4 * self.m.lookahead:
+            if self.new >= 4 * m.lookahead:
                 out += self.settle()
         return out
 
@@ -213,6 +209,7 @@ class WordBPE:
         self.transducer = Transducer(self.merges)
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
         self.old: dict[str, tuple[int, bytes, bytes]] = {}
+        self.known: dict[str, tuple[int, bytes, bytes]] = {}
 
     def part(self, part: str) -> list[int]:
         """Ids of one part of the split, symbol by symbol."""
@@ -233,12 +230,27 @@ class WordBPE:
             out += [self.added[part]] if part in self.added else [i for x in self.split(self.lower(part)) for i in self.part(x)]
         return out
 
-    def of(self, word: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids in decimal, and their tokens decoded, of a text between white space; kept for plain words."""
-        ids = self.ids(word)
+    def coded(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        """Number of ids, the ids in decimal, and their tokens decoded."""
         decoder = Decoder(self.names, self.plain)
         return len(ids), " ".join(map(str, ids)).encode(), (decoder.feed(ids) + decoder.end()).encode()
 
+    def of(self, word: str) -> tuple[int, bytes, bytes]:
+        """coded() of a word of a plain text, from its parts, which are kept too; a part's tokens decode the same wherever it stands."""
+        found = []
+        for part in self.split(word.lower()):
+            x = self.known.get(part)
+            if x is None:
+                x = self.coded(self.part(part))
+                if len(part) <= 64:
+                    if len(self.known) > CACHED:
+                        self.known.clear()
+                    self.known[part] = x
+            found.append(x)
+        if len(found) == 1:
+            return found[0]
+        return sum([x[0] for x in found]), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
+
     def words(self, text: str):
         """The same for each word of a plain text."""
         words = text.split()
@@ -258,7 +270,7 @@ class WordBPE:
         """Number of ids, SHA-256 of the ids in decimal joined by blanks, and of the decoded text."""
         ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
         if "<|" in text or not PLAIN.fullmatch(text) or not self.plain:
-            found = [[self.of(text)]]
+            found = [[self.coded(self.ids(text))]]
         else:
             found = map(self.words, blocks(text) if len(text) > BLOCK else [text])
         for part in found:
