@@ -29,7 +29,7 @@ LETTERS = {ord(c): "".join(byte_letters()[b] for b in c.encode()) for c in CHARA
 SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+").findall
 UNSPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+").findall
 #: Encodings kept in each of two generations; the older one goes when the newer one is full.
-CACHED = 300_000
+CACHED = 500_000
 #: Characters of a text handled at once.
 BLOCK = 1 << 20
 
@@ -44,6 +44,10 @@ def blocks(text: str, size: int = BLOCK):
         at = end
 
 
+def plain(text: str) -> bool:
+    return text.isascii() and text.replace("\n", "").isprintable() or PLAIN.fullmatch(text) is not None
+
+
 class Encoder:
     """ids(text): the ids that the library gives the whole text, as little-endian uint32 bytes.
 
@@ -97,7 +101,7 @@ class Encoder:
         return b"".join(found)
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if "<|" in text or not plain(text):
             return self.whole(text)
         return self.block(text) if len(text) <= BLOCK else b"".join(map(self.block, blocks(text)))
 
