@@ -14,6 +14,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +40,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{root}/spanforge/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back: cuts the lineage and survives the loss of executors."""
+def written(df: DataFrame, large: bool = False) -> DataFrame:
+    """df, written to the shared folder and read back: cuts the lineage and survives the loss of executors. large: frees the shuffles behind it at once."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
+    if large:
+        release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,7 +76,11 @@ def let(value, body):
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    """Lets Spark delete shuffle files that nothing refers to any more; else they stay until the driver happens to collect its garbage.
+
+    The pause lets Spark's own listeners forget the last query first.
+    """
+    time.sleep(1)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -3,15 +3,19 @@
 A window is a run of `window` units (words or bytes) of one document, and counts
 as repeated when the same run stands earlier. Anchors are places of which a
 repeated window and its earlier copy have at least one in common; how they are
-chosen is the operators' affair. Three rounds, each with longer runs, drop what
-turns out to be unique:
+chosen is the operators' affair. Rounds with longer and longer runs drop what turns out to
+be unique:
 
 1. Anchors are grouped by the run at the anchor. One that stands alone is done.
 2. Of an anchor group, those whose whole context (all windows that the anchor
    answers for) stands earlier are repeated as a whole. If the group has but one
    context, its first one is done.
 3. What is left are first contexts of groups with several: places where copies
-   begin, end or differ. Their single windows are grouped.
+   begin, end or differ. Where each window has one anchor, its windows are cut,
+   by their distance from it, into steps of STEP; a step goes through the same
+   two rounds, its windows' common part being the run, which is nearly a window
+   long.
+4. Single windows of what is left then are grouped.
 
 A map task folds equal keys among the rows it holds before they are shuffled,
 and keys with many contexts there skip the first two rounds, so that neither
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codes import BASES, Runs, mix, signed
-from .common import release, written
+from .common import written
 
 #: Units of a text worked on at once.
 BLOCK = 1 << 20
@@ -36,6 +40,8 @@ BLOCK = 1 << 20
 FOLD = 400_000
 #: Contexts of one key among these from which the key skips the shuffle by key.
 HEAVY = 64
+#: Windows that a step of the third round holds at most.
+STEP = 8
 #: Kinds of rows in the shuffle by key.
 PLAIN, MARKER, REPEATED, SHARED = 0, 1, 2, 3
 
@@ -81,43 +87,86 @@ def last_first(flags: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), 0))
 
 
-def anchor_rows(docs: DataFrame, codes_of, anchors: Anchors, window: int, within: bool) -> DataFrame:
-    """key, ctx, doc_id, p, n, kind: of each anchor the hash of its run and of its context, and the n windows from p on that it answers for."""
-
-    def folded(key, ctx, doc, p, n):
-        order = np.lexsort((p, doc, ctx, key))
-        key, ctx, doc, p, n = (x[order] for x in (key, ctx, doc, p, n))
-        new_key, new_ctx = first_of(key), first_of(key, ctx)
-        first = last_first(new_ctx)
-        again = ~new_ctx if within else doc > doc[first]
-        contexts = np.add.reduceat(new_ctx, np.flatnonzero(new_key))
-        heavy = np.repeat(contexts > HEAVY, np.diff(np.r_[np.flatnonzero(new_key), len(key)]))
-        kind = np.where(again, REPEATED, np.where(heavy, SHARED, PLAIN)).astype(np.int8)
-        mark = np.flatnonzero(new_key & heavy)
-        marker = [x[mark] for x in (key, ctx, doc, p, n)] + [np.full(len(mark), MARKER, np.int8)]
-        # rows that need no group go anywhere
-        key = np.where(kind >= REPEATED, key + ctx * np.uint64(BASES[0]) + doc.view(np.uint64) * np.uint64(BASES[1]), key)
-        return [np.concatenate(x) for x in zip((key, ctx, doc, p, n, kind), marker)]
+GROUPED = "key long, ctx long, doc_id long, pn long"
+#: Low bits of pn: kind, then the number of windows; the place stands above.
+KIND_BITS, N_BITS = 2, 14
 
-    def batch(fold):
-        key, ctx, doc, p, n, kind = folded(*fold.take())
-        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(ctx)), pa.array(doc), pa.array(p), pa.array(n), pa.array(kind)], ["key", "ctx", "doc_id", "p", "n", "kind"])
+
+def grouped(fold: Fold, within: bool) -> pa.RecordBatch:
+    """Rows (key, ctx, doc_id, p, n) with equal ones folded, as key, ctx, doc_id, pn."""
+    key, ctx, doc, p, n = fold.take()
+    order = np.lexsort((p, doc, ctx, key))
+    key, ctx, doc, p, n = (x[order] for x in (key, ctx, doc, p, n))
+    new_key, new_ctx = first_of(key), first_of(key, ctx)
+    again = ~new_ctx if within else doc > doc[last_first(new_ctx)]
+    starts = np.flatnonzero(new_key)
+    heavy = np.repeat(np.add.reduceat(new_ctx, starts) > HEAVY, np.diff(np.r_[starts, len(key)]))
+    kind = np.where(again, REPEATED, np.where(heavy, SHARED, PLAIN))
+    mark = np.flatnonzero(new_key & heavy)
+    pn = (p << N_BITS | n) << KIND_BITS
+    columns = [np.where(kind >= REPEATED, key + ctx * np.uint64(BASES[0]) + doc.view(np.uint64) * np.uint64(BASES[1]), key), ctx, doc, pn | kind]  # rows that need no group go anywhere
+    columns = [np.concatenate([c, m]) for c, m in zip(columns, (key[mark], ctx[mark], doc[mark], pn[mark] | MARKER))]
+    return pa.RecordBatch.from_arrays([pa.array(signed(columns[0])), pa.array(signed(columns[1])), pa.array(columns[2]), pa.array(columns[3])], ["key", "ctx", "doc_id", "pn"])
+
+
+def anchor_rows(docs: DataFrame, codes_of, anchors: Anchors, window: int, within: bool) -> DataFrame:
+    """The anchors of docs, each with the windows that it answers for."""
 
     def run(batches):
         fold = Fold(5)
         for b in batches:
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"]):
-                for at, part in in_blocks(codes_of(text.as_py()), window):
+                for lo, part in in_blocks(codes_of(text.as_py()), window):
                     runs = Runs(part)
-                    key, at_key, first, last = anchors(part, runs)
+                    key, at, first, last = anchors(part, runs)
                     # an anchor's place in its context is part of it
-                    ctx = mix(runs(first, last + window) + (at_key - first).astype(np.uint64))
-                    if fold.add(key, ctx, np.full(len(key), doc, np.int64), first + at, (last - first + 1).astype(np.int32)):
-                        yield batch(fold)
+                    ctx = mix(runs(first, last + window) + (at - first).astype(np.uint64))
+                    if fold.add(key, ctx, np.full(len(key), doc, np.int64), first + lo, last - first + 1):
+                        yield grouped(fold, within)
         if fold.n:
-            yield batch(fold)
+            yield grouped(fold, within)
+
+    return docs.mapInArrow(run, GROUPED)
 
-    return docs.mapInArrow(run, "key long, ctx long, doc_id long, p long, n int, kind byte")
+
+def step_rows(docs: DataFrame, codes_of, anchors: Anchors, window: int, within: bool) -> DataFrame:
+    """The steps of the anchors of docs whose first windows are in `at`."""
+
+    def run(batches):
+        fold = Fold(5)
+        for b in batches:
+            for doc, text, asked in zip(b["doc_id"].to_pylist(), b["text"], b["at"]):
+                asked = asked.values.field("p").to_numpy()
+                for lo, part in in_blocks(codes_of(text.as_py()), window):
+                    runs = Runs(part)
+                    _, at, first, last = anchors(part, runs)
+                    chosen = np.isin(first + lo, asked)
+                    at, first, last = at[chosen], first[chosen], last[chosen]
+                    for back in range(0, int((at - first).max(initial=-1)) + 1, STEP):
+                        a, z = np.maximum(first, at - back - STEP + 1), np.minimum(last, at - back)
+                        ok = a <= z
+                        x, a, z = at[ok], a[ok], z[ok]
+                        key = mix(runs(x - back, x - back - STEP + 1 + window) + np.uint64(back))
+                        ctx = mix(runs(a, z + window) + (x - a).astype(np.uint64))
+                        if fold.add(key, ctx, np.full(len(key), doc, np.int64), a + lo, z - a + 1):
+                            yield grouped(fold, within)
+        if fold.n:
+            yield grouped(fold, within)
+
+    return docs.mapInArrow(run, GROUPED)
+
+
+def judged(rows: DataFrame, within: bool) -> DataFrame:
+    """doc_id, p, n, again of grouped rows that stand earlier as a whole (again), or of whose key there are several contexts."""
+    n = F.shiftright("pn", KIND_BITS).bitwiseAND(F.lit((1 << N_BITS) - 1)).cast("int")
+    rows = rows.repartition("key").select("key", "ctx", "doc_id", F.shiftright("pn", KIND_BITS + N_BITS).alias("p"), n.alias("n"), F.col("pn").bitwiseAND(F.lit(3)).alias("kind"))
+    group, same = Window.partitionBy("key"), Window.partitionBy("key", "ctx")
+    plain = F.col("kind") == PLAIN
+    place = F.struct("doc_id", "p") if within else F.col("doc_id")
+    rows = rows.withColumn("again", (F.col("kind") == REPEATED) | (plain & (place > F.min(F.when(plain, place)).over(same))))
+    several = (F.min("ctx").over(group) != F.max("ctx").over(group)) | F.max(F.col("kind") == MARKER).over(group)
+    rows = rows.withColumn("shared", (F.col("kind") == SHARED) | (plain & several))
+    return rows.where("again OR shared").select("doc_id", "p", "n", "again")
 
 
 def window_rows(docs: DataFrame, codes_of, window: int, within: bool) -> DataFrame:
@@ -164,32 +213,24 @@ def by_document(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("p", F.col("n").cast("int").alias("n"))).alias("at"))
 
 
-def repeated(docs: DataFrame, codes_of, anchors: Anchors, window: int, within: bool) -> DataFrame:
+def repeated(docs: DataFrame, codes_of, anchors: Anchors, window: int, within: bool, steps: bool) -> DataFrame:
     """doc_id, at: the ranges of repeated windows of each document that has any.
 
     codes_of: a text to its units' codes. within: a window counts as repeated by
     an earlier place of its own document too, else only by documents with a
-    smaller doc_id, which must be unique.
+    smaller doc_id, which must be unique. steps: each window has one anchor, at
+    or behind its start, so that the third round is of use.
     """
-    spark = docs.sparkSession
-    rows = anchor_rows(docs, codes_of, anchors, window, within).repartition("key")
-    group, same = Window.partitionBy("key"), Window.partitionBy("key", "ctx")
-    plain = F.col("kind") == PLAIN
-    if within:
-        again = F.struct("doc_id", "p") > F.min(F.when(plain, F.struct("doc_id", "p"))).over(same)
-    else:
-        again = F.col("doc_id") > F.min(F.when(plain, F.col("doc_id"))).over(same)
-    rows = rows.withColumn("again", (F.col("kind") == REPEATED) | (plain & again))
-    rows = rows.withColumn("shared", (F.col("kind") == SHARED) | (plain & ((F.min("ctx").over(group) != F.max("ctx").over(group)) | (F.max(F.col("kind") == MARKER).over(group)))))
-    found = written(rows.where("again OR shared").select("doc_id", "p", "n", "again"))
-    left = docs.join(by_document(found.where("NOT again")), "doc_id")
+    found = [written(judged(anchor_rows(docs, codes_of, anchors, window, within), within), large=True)]
+    if steps:
+        left = docs.join(by_document(found[-1].where("NOT again")), "doc_id")
+        found.append(written(judged(step_rows(left, codes_of, anchors, window, within), within), large=True))
+    left = docs.join(by_document(found[-1].where("NOT again")), "doc_id")
     rows = window_rows(left, codes_of, window, within).repartition("key")
-    same = Window.partitionBy("key", "key2")
-    if within:
-        again = F.struct("doc_id", "p") > F.min(F.when(plain, F.struct("doc_id", "p"))).over(same)
-    else:
-        again = F.col("doc_id") > F.min(F.when(plain, F.col("doc_id"))).over(same)
-    rows = rows.withColumn("again", (F.col("kind") == REPEATED) | (plain & again))
-    single = written(rows.where("again").select("doc_id", "p", F.lit(1).alias("n")))
-    release(spark)
-    return by_document(found.where("again").select("doc_id", "p", "n").unionByName(single))
+    plain, same = F.col("kind") == PLAIN, Window.partitionBy("key", "key2")
+    place = F.struct("doc_id", "p") if within else F.col("doc_id")
+    rows = rows.withColumn("again", (F.col("kind") == REPEATED) | (plain & (place > F.min(F.when(plain, place)).over(same))))
+    out = written(rows.where("again").select("doc_id", "p", F.lit(1).alias("n")), large=True)
+    for f in found:
+        out = out.unionByName(f.where("again").select("doc_id", "p", "n"))
+    return by_document(out)

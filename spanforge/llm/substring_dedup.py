@@ -56,7 +56,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     text; null ids come first. An empty table gives no rows.
     """
     rows, back = identified(docs, *carry)
-    ranges = repeated(rows.select("doc_id", "text"), text_codes, cover_anchors(window, period), window, within=False)
+    ranges = repeated(rows.select("doc_id", "text"), text_codes, cover_anchors(window, period), window, within=False, steps=False)
 
     def remove(batches):
         for b in batches:

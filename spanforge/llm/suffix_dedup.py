@@ -53,10 +53,11 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataF
     Ranks are 64-bit hashes, which need no renumbering (128 bits in the last
     round). Doubling starts at runs of `run` bytes, at one position per window's
     least rank instead of all; positions that are unique drop out, the others go
-    on to their whole context and at last to single strings of `window` bytes.
+    on to their whole context, to steps of nearly `window` bytes and at last to
+    single strings of `window` bytes.
     """
     rows, back = identified(docs)
-    ranges = repeated(rows, text_codes, least_anchors(window, run), window, within=True)
+    ranges = repeated(rows, text_codes, least_anchors(window, run), window, within=True, steps=True)
 
     def remove(batches):
         for b in batches:
