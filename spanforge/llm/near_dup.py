@@ -18,6 +18,8 @@ FOLD = 1_000_000
 #: A shingle is known as common from this many documents, and so many of the most common are known at most. They come
 #: last in the order that prefixes are taken in; which are known changes the work, not the result.
 COMMON, KNOWN = 32, 1 << 17
+#: A bit for each value of a token's high bits tells most tokens that are not known.
+MARK_SHIFT = np.uint64(44)
 #: Documents compared with one copy of their leader.
 PER_LEADER = 256
 
@@ -31,9 +33,9 @@ def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
 
 
 def digest(found: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set of shingles."""
-    runs = [Runs(found, b)(np.array([0]), np.array([len(found)])) for b in BASES]
-    return int(signed(runs[0])[0]), int(signed(mix(runs[1]))[0])
+    """128 bits of a set of shingles: two sums of its members' bits, mixed differently."""
+    one = mix(found)
+    return int(one.sum(dtype=np.uint64).view(np.int64)), int(mix(one + np.uint64(BASES[1])).sum(dtype=np.uint64).view(np.int64))
 
 
 def prefix_length(n: int, similarity: int) -> int:
@@ -86,6 +88,8 @@ def prefixes(docs: DataFrame, n: int, similarity: int, known: list) -> DataFrame
 
     def run(batches):
         tokens, ranks = sent.value
+        marks = np.zeros(1 << (64 - int(MARK_SHIFT)), bool)
+        marks[tokens >> MARK_SHIFT] = True
         seen, out = set(), []
         for b in batches:
             for text in b["text"]:
@@ -94,13 +98,18 @@ def prefixes(docs: DataFrame, n: int, similarity: int, known: list) -> DataFrame
                 if not len(found) or key in seen:
                     continue
                 seen.add(key)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-                    found = found[np.argsort(np.where(tokens[at] == found, ranks[at], 0), kind="stable")]
-                size = len(found)
-                first = signed(found[: prefix_length(size, similarity)])
-                group = signed(mix(Runs(first.view(np.uint64), BASES[1])(np.array([0]), np.array([len(first)])) + np.uint64(size)))[0]
-                k = len(first)
+                size, k = len(found), prefix_length(len(found), similarity)
+                first = found[:k]
+                near = np.flatnonzero(marks[found >> MARK_SHIFT])
+                if len(near):
+                    at = np.minimum(np.searchsorted(tokens, found[near]), len(tokens) - 1)
+                    same = tokens[at] == found[near]
+                    near, at = near[same], at[same]
+                    # the rare ones in order of hash, then the known ones
+                    last = found[near[np.argsort(ranks[at], kind="stable")]]
+                    first = np.concatenate([np.delete(found, near)[:k], last])[:k]
+                group = int((mix(first + np.uint64(size)).sum(dtype=np.uint64)).view(np.int64))
+                first = signed(first)
                 out.append((first, np.full(k, group), np.full(k, size, np.int32), np.arange(k, dtype=np.int32), key))
                 if len(out) >= 2000:
                     yield batch(out)
@@ -128,6 +137,17 @@ def possible(a: str, b: str, similarity: int):
     return least <= F.least(F.col(f"{a}.size") - F.col(f"{a}.place"), F.col(f"{b}.size") - F.col(f"{b}.place"))
 
 
+def enough(both: str, a: str, b: str, similarity: int):
+    """Whether sets of these sizes whose prefixes have `both` tokens in common can be similar.
+
+    The prefix that ends first in the order is known to miss what it doesn't
+    share, so the sets share no more than `both` and what stands behind it.
+    """
+    least = F.ceil(similarity * (F.col(a) + F.col(b)) / (100 + similarity))
+    behind = lambda c: F.ceil(similarity * F.col(c) / 100) - 1
+    return F.col(both) >= least - F.greatest(behind(a), behind(b))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataFrame:
     """The pairs (a, b) of documents that are linked.
 
@@ -155,7 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: int) -> Dat
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return written(rows.mapInArrow(run, "a long, b long"))
+    return written(rows.mapInArrow(run, "a long, b long"), large=True)
 
 
 def jaccard_join(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -184,14 +204,14 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
     by_token = Window.partitionBy("token")
     rare = prefixes(rows, n, similarity, known).repartition("token").withColumn("leader", F.min(F.when(F.col("place").isNotNull(), F.col("group_id"))).over(by_token))
     rare = rare.withColumn("other", F.max(F.when(F.col("place").isNotNull(), F.col("group_id"))).over(by_token))
-    kept = written(rare.where("place IS NULL OR leader <> other").drop("other"))
+    kept = written(rare.where("place IS NULL OR leader <> other").drop("other"), large=True)
     tokens = kept.where("place IS NOT NULL").select("token", "group_id", "size", "place", "leader").distinct()
     groups = kept.where("place IS NULL").select("group_id", F.struct("d1", "d2").alias("set")).distinct().join(classes, "set").select("group_id", "rep")
     first = groups.groupBy("group_id").agg(F.min("rep").alias("first"), F.count("*").alias("sets"))
     # groups that have a candidate, within or beside them
     open_groups = first.join(tokens.select("group_id").distinct().withColumn("shared", F.lit(1)), "group_id", "left").where("shared = 1 OR sets > 1").select("group_id", "first")
     groups = written(groups.join(open_groups, "group_id"))
-    texts = written(rows.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
+    texts = written(rows.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), large=True)
     firsts = groups.where("rep = first").select("group_id", "first")
 
     led = tokens.where("group_id = leader").select("token", F.struct("size", "place").alias("x"))
@@ -210,7 +230,8 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
     x, y = (sides.select("token", F.col("label").alias(f"{s}_label"), F.struct("least", "most").alias(s)) for s in "xy")
     met = x.join(y, "token").where((F.col("x_label") < F.col("y_label")) & (similarity * F.col("x.least") <= 100 * F.col("y.most")) & (similarity * F.col("y.least") <= 100 * F.col("x.most"))).select("token", "x_label", "y_label")
     x, y = (spots.select("token", F.col("label").alias(f"{s}_label"), F.col("group_id").alias(f"{s}_group"), F.col("at").alias(s)) for s in "xy")
-    met = met.join(x, ["token", "x_label"]).join(y, ["token", "y_label"]).where(possible("x", "y", similarity)).select("x_group", "x_label", "y_group", "y_label").distinct()
+    met = met.join(x, ["token", "x_label"]).join(y, ["token", "y_label"]).groupBy("x_group", "x_label", "y_group", "y_label")
+    met = met.agg(F.count("*").alias("both"), F.first("x.size").alias("x_size"), F.first("y.size").alias("y_size")).where(enough("both", "x_size", "y_size", similarity)).drop("both", "x_size", "y_size")
     x, y = (parts.select(F.col("group_id").alias(f"{s}_group"), F.col("label").alias(f"{s}_label")) for s in "xy")
     inside = x.join(y, F.col("x_group") == F.col("y_group")).where("x_label < y_label").select(*met.columns)
     x, y = (groups.select(F.col("group_id").alias(f"{s}_group"), F.col("label").alias(f"{s}_label"), F.col("rep").alias(c)) for s, c in (("x", "a"), ("y", "b")))
