@@ -15,40 +15,40 @@ from .common import no_text_is_empty, null_id
 #: Phrases and labels that the contract fixes.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label; SPDX id in words; the word that must stand in a text; regex of the name, over lower-case words with one blank between.
+#: label; SPDX id in words; words of which one stands in whatever the regex matches; regex of the name, over lower-case words with one blank between.
 #: {L} is license or licence, {V} the word version or v before a number.
 NAMES = r"""
-mit; mit; mit; (?:the )?(?:expat|x11) {L}|mit {L}
+mit; mit; mit, expat, x11; (?:the )?(?:expat|x11) {L}|mit {L}
 mit-0; mit 0; mit; mit no attribution(?: {L})?
 apache-2; apache 2 0; apache; apache(?: software)? {L} ?{V}2(?: 0)?|apache 2(?: 0)? {L}
 apache-1.1; apache 1 1; apache; apache(?: software)? {L} ?{V}1 1
 apache-1.0; apache 1 0; apache; apache(?: software)? {L} ?{V}1 0
-bsd-2-clause; bsd 2 clause; bsd; (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: {L})?
+bsd-2-clause; bsd 2 clause; bsd, freebsd; (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: {L})?
 bsd-3-clause; bsd 3 clause; bsd; (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: {L})?
 bsd-4-clause; bsd 4 clause; bsd; (?:bsd 4 clause|4 clause bsd|original bsd)(?: {L})?
-bsd-0-clause; 0bsd; 0bsd; 0bsd|zero clause bsd(?: {L})?
+bsd-0-clause; 0bsd; 0bsd, zero; 0bsd|zero clause bsd(?: {L})?
 bsd; bsd; bsd; bsd(?: style)? {L}
 isc; isc; isc; isc {L}
 zlib; zlib; zlib; zlib(?: libpng)? {L}
 libpng; libpng; libpng; libpng {L}
 boost-1.0; bsl 1 0; boost; boost software {L}(?: {V}1 0)?
 unlicense; unlicense; unlicense; (?:the )?unlicense
-wtfpl; wtfpl; wtfpl; wtfpl|do what the f\w+ you want to public {L}
+wtfpl; wtfpl; wtfpl, public; wtfpl|do what the f\w+ you want to public {L}
 cc0-1.0; cc0 1 0; cc0; cc0(?: 1 0)?(?: universal)?
 gpl-1; gpl 1 0; gnu; gnu general public {L} {V}1(?: 0)?
 gpl-2; gpl 2 0; gnu; gnu (?:general public {L}|gpl) {V}2(?: 0)?
 gpl-3; gpl 3 0; gnu; gnu (?:general public {L}|gpl) {V}3(?: 0)?
-gpl-2; gpl 2 0 only; gpl; gpl ?v?2(?: 0)?(?: only| or later)?
-gpl-3; gpl 3 0 only; gpl; gpl ?v?3(?: 0)?(?: only| or later)?
+gpl-2; gpl 2 0 only; gpl, gpl2, gplv2; gpl ?v?2(?: 0)?(?: only| or later)?
+gpl-3; gpl 3 0 only; gpl, gpl3, gplv3; gpl ?v?3(?: 0)?(?: only| or later)?
 gpl; gpl; gnu; gnu general public {L}
 lgpl-2; lgpl 2 0; gnu; gnu (?:library|lesser) general public {L} {V}2(?: 0)?
 lgpl-2.1; lgpl 2 1; gnu; gnu lesser general public {L} {V}2 1
 lgpl-3; lgpl 3 0; gnu; gnu lesser general public {L} {V}3(?: 0)?
-lgpl-2.1; lgpl 2 1 only; lgpl; lgpl ?v?2 1
-lgpl-3; lgpl 3 0 only; lgpl; lgpl ?v?3(?: 0)?
+lgpl-2.1; lgpl 2 1 only; lgpl, lgpl2, lgplv2; lgpl ?v?2 1
+lgpl-3; lgpl 3 0 only; lgpl, lgpl3, lgplv3; lgpl ?v?3(?: 0)?
 lgpl; lgpl; gnu; gnu (?:lesser|library) general public {L}
 agpl-3; agpl 3 0; gnu; gnu affero general public {L}(?: {V}3(?: 0)?)?
-agpl-3; agpl 3 0 only; agpl; agpl ?v?3(?: 0)?
+agpl-3; agpl 3 0 only; agpl, agpl3, agplv3; agpl ?v?3(?: 0)?
 agpl-1; agpl 1 0; affero; affero general public {L} {V}1(?: 0)?
 gfdl-1.1; gfdl 1 1; gnu; gnu free documentation {L} {V}1 1
 gfdl-1.2; gfdl 1 2; gnu; gnu free documentation {L} {V}1 2
@@ -57,12 +57,12 @@ gfdl; gfdl; gnu; gnu free documentation {L}
 mpl-1.0; mpl 1 0; mozilla; mozilla public {L} ?{V}1 0
 mpl-1.1; mpl 1 1; mozilla; mozilla public {L} ?{V}1 1
 mpl-2.0; mpl 2 0; mozilla; mozilla public {L} ?{V}2(?: 0)?
-mpl-2.0; mpl 2 0 no copyleft exception; mpl; mpl ?v?2 0
+mpl-2.0; mpl 2 0 no copyleft exception; mpl, mpl2, mplv2; mpl ?v?2 0
 epl-1.0; epl 1 0; eclipse; eclipse public {L} ?{V}1(?: 0)?
 epl-2.0; epl 2 0; eclipse; eclipse public {L} ?{V}2(?: 0)?
 edl-1.0; edl 1 0; eclipse; eclipse distribution {L}(?: {V}1 0)?
-cddl-1.0; cddl 1 0; cddl; (?:common development and distribution {L}|cddl)(?: ?{V}1 0)?
-cddl-1.1; cddl 1 1; cddl; (?:common development and distribution {L}|cddl) ?{V}1 1
+cddl-1.0; cddl 1 0; cddl, cddl1, cddlv, cddlv1, cddlversion, development; (?:common development and distribution {L}|cddl)(?: ?{V}1 0)?
+cddl-1.1; cddl 1 1; cddl, cddl1, cddlv, cddlv1, cddlversion, development; (?:common development and distribution {L}|cddl) ?{V}1 1
 cpl-1.0; cpl 1 0; common; common public {L}(?: {V}1 0)?
 ipl-1.0; ipl 1 0; ibm; ibm public {L}(?: {V}1 0)?
 artistic-1.0; artistic 1 0; artistic; artistic {L} {V}1(?: 0)?
@@ -70,13 +70,13 @@ artistic-2.0; artistic 2 0; artistic; artistic {L} {V}2(?: 0)?
 artistic; artistic; artistic; (?:perl )?artistic {L}
 ofl-1.1; ofl 1 1; sil; sil open font {L}(?: {V}1 1)?
 ofl-1.0; ofl 1 0; sil; sil open font {L} {V}1 0
-eupl-1.1; eupl 1 1; eupl; (?:european union public {L}|eupl) ?{V}1 1
-eupl-1.2; eupl 1 2; eupl; (?:european union public {L}|eupl)(?: ?{V}1 2)?
+eupl-1.1; eupl 1 1; eupl, eupl1, euplv, euplv1, euplversion, european; (?:european union public {L}|eupl) ?{V}1 1
+eupl-1.2; eupl 1 2; eupl, eupl1, euplv, euplv1, euplversion, european; (?:european union public {L}|eupl)(?: ?{V}1 2)?
 cecill-2.1; cecill 2 1; cecill; cecill(?: {L})?(?: {V}2 1)?
 cecill-b; cecill b; cecill; cecill b(?: {L})?
 cecill-c; cecill c; cecill; cecill c(?: {L})?
 afl-3.0; afl 3 0; academic; academic free {L}(?: {V}3 0)?
-osl-3.0; osl 3 0; osl; (?:open software {L}|osl)(?: {V}3 0)?
+osl-3.0; osl 3 0; osl, software; (?:open software {L}|osl)(?: {V}3 0)?
 ms-pl; ms pl; microsoft; microsoft public {L}
 ms-rl; ms rl; microsoft; microsoft reciprocal {L}
 ncsa; ncsa; ncsa; (?:university of illinois )?ncsa(?: open source)? {L}
@@ -91,23 +91,23 @@ zpl-2.1; zpl 2 1; zope; zope public {L}(?: {V}2 1)?
 w3c; w3c; w3c; w3c software(?: notice)?(?: and)?(?: {L})
 unicode-dfs; unicode dfs 2016; unicode; unicode(?: data files and software)? {L}
 json; json; json; json {L}
-beerware; beerware; beerware; beer ?ware {L}
-qpl-1.0; qpl 1 0; qpl; q public {L}(?: {V}1 0)?
+beerware; beerware; beerware, beer; beer ?ware {L}
+qpl-1.0; qpl 1 0; q; q public {L}(?: {V}1 0)?
 sleepycat; sleepycat; sleepycat; sleepycat {L}
 watcom-1.0; watcom 1 0; watcom; sybase open watcom public {L}
 apsl-2.0; apsl 2 0; apple; apple public source {L}(?: {V}2 0)?
 naist; naist 2003; naist; naist {L}
 nasa-1.3; nasa 1 3; nasa; nasa open source agreement(?: {V}1 3)?
-odbl-1.0; odbl 1 0; odbl; odbl(?: {V}1 0)?|open database {L}
-odc-by-1.0; odc by 1 0; odc; odc by(?: {V}1 0)?|open data commons attribution {L}
-pddl-1.0; pddl 1 0; pddl; pddl|public domain dedication and {L}
-cdla-permissive; cdla permissive 2 0; cdla; (?:cdla|community data {L} agreement) permissive(?: {V}[12] 0)?
-cdla-sharing; cdla sharing 1 0; cdla; (?:cdla|community data {L} agreement) sharing(?: {V}1 0)?
-openrail; openrail; openrail; (?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: {L})?
-llama; llama2; llama; llama ?[23]? community {L}
+odbl-1.0; odbl 1 0; odbl, database; odbl(?: {V}1 0)?|open database {L}
+odc-by-1.0; odc by 1 0; odc, commons; odc by(?: {V}1 0)?|open data commons attribution {L}
+pddl-1.0; pddl 1 0; pddl, dedication; pddl|public domain dedication and {L}
+cdla-permissive; cdla permissive 2 0; cdla, community; (?:cdla|community data {L} agreement) permissive(?: {V}[12] 0)?
+cdla-sharing; cdla sharing 1 0; cdla, community; (?:cdla|community data {L} agreement) sharing(?: {V}1 0)?
+openrail; openrail; openrail, rail; (?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: {L})?
+llama; llama2; llama, llama2, llama3; llama ?[23]? community {L}
 busl-1.1; busl 1 1; business; business source {L}(?: {V}?1 1)?
 elastic-2.0; elastic 2 0; elastic; elastic {L}(?: {V}?2 0)?
-sspl-1.0; sspl 1 0; sspl; server side public {L}(?: {V}?1)?|sspl(?: {V}1)?
+sspl-1.0; sspl 1 0; sspl, server; server side public {L}(?: {V}?1)?|sspl(?: {V}1)?
 commons-clause; commons clause; commons; commons clause(?: {L} condition)?
 polyform; polyform noncommercial 1 0 0; polyform; polyform (?:noncommercial|small business|shield|strict|free trial|internal use) {L}
 mulan-2; mulanpsl 2 0; mulan; mulan p(?:ermissive software|sl) {L}?(?: {V}2)?
@@ -117,7 +117,7 @@ public-domain; public domain; domain; (?:in|into|to) the public domain
 #: Creative Commons codes and their long names; versions and forms are made by rule below.
 CC = {"by": "attribution", "by-sa": "attribution sharealike", "by-nd": "attribution noderiv(?:ative)?s", "by-nc": "attribution noncommercial", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderiv(?:ative)?s"}
 
-#: label; word; sentences of the texts themselves.
+#: label; words as above; sentences of the texts themselves.
 TEXTS = r"""
 mit; granted; permission is hereby granted free of charge to any person obtaining a copy of this software
 isc; granted; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
@@ -130,10 +130,10 @@ apache-2; unless; unless required by applicable law or agreed to in writing soft
 mpl-2.0; mozilla; this source code form is subject to the terms of the mozilla public {L} v ?2 0
 zlib; implied; this software is provided as is without any express or implied warranty in no event
 unlicense; unencumbered; this is free and unencumbered software released into the public domain
-boost-1.0; boost; permission is hereby granted free of charge to any person or organization obtaining a copy of the software
-wtfpl; wtfpl; you just do what the f\w+ you want to
+boost-1.0; granted; permission is hereby granted free of charge to any person or organization obtaining a copy of the software
+wtfpl; want; you just do what the f\w+ you want to
 ofl-1.1; font; this font software is licen[cs]ed under the sil open font {L}
-cc0-1.0; waived; (?:has|have) (?:dedicated|waived) (?:all|the work|any) (?:\S+ ){0,12}(?:rights|public domain)
+cc0-1.0; waived, dedicated; (?:has|have) (?:dedicated|waived) (?:all|the work|any) (?:\S+ ){0,12}(?:rights|public domain)
 all-rights-reserved; reserved; all rights reserved
 proprietary; proprietary; proprietary and confidential
 no-redistribution; redistributed; may not be (?:published broadcast rewritten or )?redistributed
@@ -141,7 +141,10 @@ no-redistribution; redistributed; may not be (?:published broadcast rewritten or
 
 
 class Rule(NamedTuple):
-    """Rules are tried in order of priority; confidence is what a detection adds to the score."""
+    """Rules are tried in order of priority; confidence is what a detection adds to the score.
+
+    A regex has a rule for each of the words of which a match holds one at least.
+    """
 
     label: str
     priority: int
@@ -154,15 +157,16 @@ def rules() -> list[Rule]:
     """Four forms of each name (SPDX line, grant, link to the name, mention), the sentences, and the Creative Commons family."""
     out = []
 
-    def add(label, priority, confidence, keyword, pattern):
+    def add(label, priority, confidence, keywords, pattern):
         pattern = pattern.replace("{L}", "licen[cs]e").replace("{V}", "(?:version |v ?)?")
-        out.append(Rule(label, priority, confidence, keyword.encode(), re.compile(f" (?:{pattern})(?= )".encode())))
+        regex = re.compile(f" (?:{pattern})(?= )".encode())
+        out.extend(Rule(label, priority, confidence, k.strip().encode(), regex) for k in keywords.split(","))
 
-    def name(label, spdx, keyword, pattern, sure=0.6):
+    def name(label, spdx, keywords, pattern, sure=0.6):
         add(label, 90, 1.0, "spdx", f"spdx licen[cs]e identifier {spdx}(?: or later| only)?")
-        add(label, 80, 0.95, keyword, f"(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed) (?:to you )?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{pattern})")
-        add(label, 70, 0.8, keyword, f"(?:under|see|use|{{L}}|agree to|terms of|subject to) (?:the )?(?:{pattern})")
-        add(label, 50, sure, keyword, pattern)
+        add(label, 80, 0.95, keywords, f"(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed) (?:to you )?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{pattern})")
+        add(label, 70, 0.8, keywords, f"(?:under|see|use|{{L}}|agree to|terms of|subject to) (?:the )?(?:{pattern})")
+        add(label, 50, sure, keywords, pattern)
 
     for line in NAMES.strip().splitlines():
         name(*(x.strip() for x in line.split(";")))
@@ -174,8 +178,8 @@ def rules() -> list[Rule]:
         name(f"cc-{code}", f"cc {short}", "cc", f"cc {short}(?! sa| nc| nd| \\d)", 0.7)
         name(f"cc-{code}", f"cc {short}", "commons", f"creative commons {long}(?: {{L}})?", 0.7)
     for line in TEXTS.strip().splitlines():
-        label, keyword, pattern = (x.strip() for x in line.split(";"))
-        add(label, 100, 1.0, keyword, pattern)
+        label, keywords, pattern = (x.strip() for x in line.split(";"))
+        add(label, 100, 1.0, keywords, pattern)
     return sorted(dict.fromkeys(out), key=lambda r: -r.priority)
 
 
@@ -194,9 +198,9 @@ class Scanner:
     def detect(self, words: list[bytes], line: bytes) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) of the detections that stay: one within another of higher priority, or of the same and begun before or longer, goes."""
         found = []
-        for word in self.keywords.intersection(words):
-            for r in self.by_word[word]:
-                found += [(m.start(), m.end(), r) for m in r.regex.finditer(line)]
+        tried = {id(r.regex): r for word in self.keywords.intersection(words) for r in self.by_word[word]}
+        for r in tried.values():
+            found += [(m.start(), m.end(), r) for m in r.regex.finditer(line)]
         out: list[tuple[int, int, Rule]] = []
         for priority in sorted({d[2].priority for d in found}, reverse=True):
             starts, ends = [d[0] for d in out], list(accumulate((d[1] for d in out), max))

@@ -1,5 +1,6 @@
 import random
 import re
+from re import _parser
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ import pytest
 from spanforge.llm import quality
 from spanforge.llm.exact_dedup import exact_dedup
 from spanforge.llm.language import language_id
-from spanforge.llm.licenses import BASE, license_scan, rules, scanner
+from spanforge.llm.licenses import BASE, Scanner, license_scan, rules, scanner
 
 from .helpers import WORD, documents, prose
 from collections import Counter
@@ -118,6 +119,46 @@ def test_license_rules():
     assert sorted(d[:2] for d in kept) == [d[:2] for d in s.detect(line, text)]
 
 
+def spelled(parsed):
+    """What a parsed regex matches, each optional or repeated part left out or once, look-aheads left out."""
+    out = [""]
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            forms = [chr(x)]
+        elif op == "IN":
+            forms = ["z"] if any(str(o) == "CATEGORY" for o, _ in x) else [chr(c) for _, c in x]
+        elif op == "BRANCH":
+            forms = [f for b in x[1] for f in spelled(b)]
+        elif op == "SUBPATTERN":
+            forms = spelled(x[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            forms = [f * k for k in {x[0], max(x[0], 1)} for f in (spelled(x[2]) if k else [""])]
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT")
+            forms = [""]
+        out = [a + f for a in out for f in forms]
+    return out
+
+
+def test_license_prefilter_loses_nothing():
+    s, every = scanner(), rules()
+    found = lambda t: s.scan(t)[3]
+    for t, label in [("licensed under GPLv2", "gpl-2"), ("LGPLv2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3"), ("MPLv2.0", "mpl-2.0"), ("the X11 License", "mit"), ("FreeBSD License", "bsd-2-clause"), ("Zero-Clause BSD", "bsd-0-clause"), ("Common Development and Distribution License 1.0", "cddl-1.0"), ("European Union Public Licence", "eupl-1.2"), ("Open Software License v3.0", "osl-3.0"), ("Q Public License", "qpl-1.0")]:
+        assert label in found(t), t
+    # every form of every regex, which the sentences and the bare names have all alternatives of, with and without the words
+    unfiltered = Scanner()
+    unfiltered.keywords, unfiltered.by_word = frozenset([b"q7"]), {b"q7": every}
+    for r in {id(r.regex): r for r in every if r.priority in (50, 100)}.values():
+        for t in spelled(_parser.parse(r.regex.pattern.decode())):
+            words = s.words(t)
+            if r.regex.search(b" " + b" ".join(words) + b" "):
+                assert {q.keyword for q in every if q.regex is r.regex} & set(words), t
+    for t in ["Licensed under GPLv3 or LGPLv2.1, see the Expat License", "open data commons attribution license and the beer ware license", "openrail, open rail m license", "llama3 community license", "do what the fudge you want to public license", *prose(2, 20)]:
+        line = b" " + b" ".join(s.words(t or "")) + b" "
+        assert [d[:2] + d[2][:3] for d in s.detect(s.words(t or ""), line)] == [d[:2] + d[2][:3] for d in unfiltered.detect([b"q7"], line)]
+
+
 def test_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
