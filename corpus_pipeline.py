@@ -1,9 +1,10 @@
 """A training corpus from documents: quality rules, exact dedup, near dedup, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and gets what the one before it kept; all
-but the last return the columns of documents. Null texts count as empty; rows
-that share a doc_id stay or go together where a stage decides by id. Empty
-tables pass through.
+but the last return the columns of documents. Null texts count as empty. Exact
+dedup keeps rows that repeat the kept doc_id and the text; near dedup tells rows
+that share a doc_id apart and keeps one row of each group. Empty tables pass
+through.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import table, written
 from spanforge.llm.exact_dedup import exact_dedup, normalised, sha256
-from spanforge.llm.near_dup import jaccard_join
+from spanforge.llm.near_dup import first_of_each
 from spanforge.llm.packing import best_fit_packing
 from spanforge.llm.quality import quality_rules
 from spanforge.llm.substring_dedup import substring_dedup
@@ -23,12 +24,6 @@ from spanforge.llm.tokens import public
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in dropped; null ids are equal."""
-    gone = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
@@ -43,8 +38,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near duplicates."""
-    return without(docs, jaccard_join(docs).where("NOT doc_id <=> component_id"))
+    """The first row of each component of near duplicates."""
+    return first_of_each(docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,6 +196,18 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
     one component, so that no link between components is lost.
     """
     rows, back = identified(docs)
+    return own_ids(joined(rows, n, similarity), back, "doc_id", "component_id")
+
+
+def first_of_each(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """One row of each component that jaccard_join finds, the first by (doc_id, hash of the text), with all columns of docs. It is chosen by row, so rows that share a doc_id or have none are told apart."""
+    rows, _ = identified(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), "_row")
+    gone = joined(rows.select("doc_id", "text"), n, similarity).where("doc_id <> component_id").select("doc_id")
+    return rows.join(gone, "doc_id", "left_anti").select("_row.*")
+
+
+def joined(rows: DataFrame, n: int, similarity: int) -> DataFrame:
+    """doc_id, n_shingles, component_id as jaccard_join has them, for rows whose doc_id are different and not null."""
     seen = written(measured(rows, n))
     sets = seen.where("n IS NOT NULL").select("doc_id", "n", F.struct("d1", "d2").alias("set"))
     classes = written(sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
@@ -241,5 +253,4 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
     label = components(links).withColumnRenamed("node", "rep")
     classes = written(classes.join(label, "rep", "left").select("set", "members", F.coalesce("component", "rep").alias("component_id")))
     out = join_classes(sets.where("n > 0"), classes, "set", "members", sets.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    return own_ids(out, back, "doc_id", "component_id")
+    return out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -39,6 +39,15 @@ def test_stages(spark, tmp_path):
     assert jaccard_join(documents(spark, [])).collect() == []
 
 
+def test_near_dedup_by_row(spark, tmp_path):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    kept = lambda rows: sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near(spark, documents(spark, rows), str(tmp_path)).collect())
+    assert kept([(3, one), (7, one + " tail"), (7, two)]) == [(3, one), (7, two)]
+    assert kept([(5, one), (5, one), (8, two)]) == [(5, one), (8, two)]
+    assert len(kept([(5, one), (5, one + " tail"), (8, two)])) == 2
+    assert len(kept([(None, one), (None, one + " tail"), (None, two), (None, ""), (None, "")])) == 4
+
+
 def test_empty(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
