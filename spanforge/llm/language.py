@@ -14,8 +14,6 @@ from .common import no_text_is_empty, null_id
 BUCKETS, MOST = 1 << 15, 3
 #: Documents of each language, those of least hash of the id, that the weights are fitted on.
 PER_LANGUAGE = 800
-#: Languages learned at most, the commonest first.
-LANGUAGES = 200
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.05, 0.01
 #: Characters of a text hashed at once.
 BLOCK = 1 << 20
@@ -104,11 +102,14 @@ def softmax(s: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from rows (doc_id, text, lang), lang not null. Document frequencies cover all rows; the weights a sample of bounded size."""
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    sample = rows.where(F.col("lang").isin(names)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    """A model of every lang in rows (doc_id, text, lang), lang not null. Document frequencies cover all rows; the weights a sample of per_language of each.
+
+    The driver holds the sample and two numbers a bucket and language, so its memory bounds the languages.
+    """
+    names = [r["lang"] for r in rows.select("lang").distinct().collect()]
+    sample = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
-    chosen = F.broadcast(sample.select("doc_id", "lang", "h").distinct())  # LANGUAGES * PER_LANGUAGE at most
+    chosen = F.broadcast(sample.select("doc_id", "lang", "h").distinct())  # per_language of each at most
 
     def frequencies(batches):
         df, n = np.zeros(buckets, np.int64), 0
@@ -129,7 +130,8 @@ def fit(rows: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAG
     model = Model(sorted(names), np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(buckets)]))
     data = rows.join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text", "h").mapInArrow(taken, "doc_id long, lang string, h long, at array<int>, n array<long>").toPandas()
     data = data.sort_values(["h", "doc_id"], ignore_index=True)
-    data = [(model.languages.index(r.lang), np.asarray(r.at, np.int64), model.features(np.asarray(r.at, np.int64), np.asarray(r.n))) for r in data.itertuples() if len(r.at)]
+    place = {lang: i for i, lang in enumerate(model.languages)}
+    data = [(place[r.lang], np.asarray(r.at, np.int64), model.features(np.asarray(r.at, np.int64), np.asarray(r.n))) for r in data.itertuples() if len(r.at)]
     held = data[::5] if len(data) >= 20 else []
     for _ in range(EPOCHS):
         for i, (y, at, x) in enumerate(data):
@@ -150,13 +152,13 @@ def held_out(doc_id):
 def language_id(docs: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang).
 
-    Learned from rows with text and lang that are not held out; predicted from
-    the whole text alone. `und` and 0 where a text has no letter or is null, and
+    Learned from rows with text and lang that are not held out, every lang of
+    theirs; predicted from the whole text alone. `und` and 0 where a text has no letter or is null, and
     everywhere if there is nothing to learn from. Repeated rows count as often
     as they stand. An empty table gives no rows.
     """
     learned = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(learned, buckets, per_language))  # bounded by buckets * LANGUAGES
+    sent = docs.sparkSession.sparkContext.broadcast(fit(learned, buckets, per_language))  # buckets times languages
 
     def predict(batches):
         model = sent.value

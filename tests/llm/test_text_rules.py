@@ -7,7 +7,7 @@ import pytest
 
 from spanforge.llm import quality
 from spanforge.llm.exact_dedup import exact_dedup
-from spanforge.llm.language import language_id
+from spanforge.llm.language import fit, language_id
 from spanforge.llm.licenses import BASE, Scanner, license_scan, rules, scanner
 
 from .helpers import WORD, documents, prose
@@ -175,3 +175,11 @@ def test_language_id_odd_tables(spark):
     got = {(r["doc_id"], r["lang_pred"]) for r in language_id(docs).collect()}
     assert {(100, "und"), (101, "und"), (None, "en"), (4, "en"), (5, "es")} <= got
     assert {r["lang_pred"] for r in language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_language_id_learns_every_language(spark):
+    # 230 languages of five texts, each with a letter of its own
+    rows = [(5 * i + k, chr(0x4E00 + i) * (k + 4), f"l{i:03}") for i in range(230) for k in range(5)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1 << 13)
+    assert model.languages == [f"l{i:03}" for i in range(230)]
+    assert np.mean([model.predict(chr(0x4E00 + i) * 6)[0] == f"l{i:03}" for i in range(230)]) > 0.95
