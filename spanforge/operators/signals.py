@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import nearest_rank
 
+#: Trials of a permutation null that are held at once.
+CHUNK = 100
+
 
 def robust_z(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """df with z: the distance from the median by 1.4826 MAD, else by the population deviation, else by 1."""
@@ -61,10 +64,46 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return df.select(*keys, F.posexplode(vector).alias("pos", "v")).groupBy(*keys, "pos").agg(F.avg(F.col("v").cast("double")).alias("mean"))
 
 
-def permutation_null(spikes: DataFrame, population: DataFrame, key: str, hit: str, trials: int, seed: int) -> DataFrame:
-    """trial, share of hits among as many of each key's rows as it has spikes, drawn without replacement by a seeded order."""
-    wanted = spikes.groupBy(key).agg(F.count("*").alias("_n"))
-    draws = population.join(wanted, key).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    w = Window.partitionBy(key, "trial").orderBy(F.xxhash64("trial", "event_id", F.lit(seed)), "event_id")
-    drawn = draws.withColumn("_k", F.row_number().over(w)).where("_k <= _n")
-    return drawn.groupBy("trial").agg(F.avg(F.col(hit).cast("double")).alias("share"))
+def permutation_null(series: DataFrame, starts: DataFrame, key: str, thresholds: list[float], gap: float, reach: float, trials: int, seed: int) -> DataFrame:
+    """least, trial, precision, recall: the grouped spikes of series (key, t, z) against starts (key, t0) within reach, as trial -1,
+    and as many times of each key, drawn seeded without replacement, as trials from 0 on. Precision is 0 where nothing spikes, recall where nothing starts.
+
+    One key's times and starts are held at a time, and CHUNK trials of them.
+    """
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    def run(name, a, b):
+        a, first = a.sort_values("t"), np.sort(b["t0"].to_numpy(float))
+        t, z = a["t"].to_numpy(float), a["z"].to_numpy(float)
+        rng = np.random.default_rng([seed, zlib.crc32(repr(tuple(map(str, name))).encode())])
+        near = np.searchsorted(first, t + reach, "right") > np.searchsorted(first, t - reach, "left")
+        lo, hi = np.searchsorted(t, first - reach, "left"), np.searchsorted(t, first + reach, "right")
+
+        def tally(mask):
+            before = np.concatenate([np.zeros((len(mask), 1), np.int32), mask.cumsum(1, dtype=np.int32)], 1)
+            return (mask & near).sum(1), (before[:, hi] > before[:, lo]).sum(1)
+
+        out = []
+        for least in thresholds:
+            at = np.flatnonzero(z >= least)
+            at = at[np.diff(t[at], prepend=-np.inf) > gap]
+            n = len(at)
+            real = np.zeros((1, len(t)), bool)
+            real[0, at] = True
+            tallies = [tally(real)]
+            for k in range(0, trials, CHUNK):
+                mask = np.zeros((min(CHUNK, trials - k), len(t)), bool)
+                if n:
+                    np.put_along_axis(mask, rng.random(mask.shape).argpartition(n - 1, 1)[:, :n], True, 1)
+                tallies.append(tally(mask))
+            hit, found = (np.concatenate([x[i] for x in tallies]) for i in (0, 1))
+            out.append(pd.DataFrame({"least": least, "trial": np.arange(-1, trials), "near": hit, "spikes": n, "found": found, "starts": len(first)}))
+        return pd.concat(out)
+
+    rows = series.groupBy(key).cogroup(starts.groupBy(key)).applyInPandas(run, "least double, trial long, near long, spikes long, found long, starts long")
+    sums = rows.groupBy("least", "trial").agg(*(F.sum(c).alias(c) for c in ("near", "spikes", "found", "starts")))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return sums.select("least", "trial", share("near", "spikes").alias("precision"), share("found", "starts").alias("recall"))

@@ -281,12 +281,20 @@ def spike_precision_recall(spark, d):
 
 @query()
 def permutation_null(spark, d):
-    """How often 200 seeded draws catch as many labelled hours as the spikes do."""
-    h = B.hourly(spark, d)
-    z = G.robust_z(h, ["video_id"], "x").where("z >= 2")
-    real = z.agg(F.avg(F.col("label").cast("double")).alias("real"))
-    null = G.permutation_null(z, h, "video_id", "label", 200, 7)
-    return null.join(F.broadcast(real)).agg(F.first("real").alias("real"), F.avg("share").alias("null_mean"), F.avg((F.col("share") >= F.col("real")).cast("double")).alias("p"))
+    """How often 2000 seeded draws of each user's hours do as well as the spikes, in precision and in recall, for three thresholds.
+
+    real, null_mean and p are of precision; those of recall have their own names.
+    """
+    z = G.robust_z(B.hourly(spark, d), ["video_id"], "x").select("video_id", "t", F.round("z", 9).alias("z"))
+    e = B.spans(spark, d).where("class_name = 'error'").select("video_id", "t0")
+    shares = G.permutation_null(z, e, "video_id", [2.0, 2.5, 3.0], 2.0, 3.0, 2000, 7)
+    draw = F.col("trial") >= 0
+    w = Window.partitionBy("least")
+    real = {c: F.max(F.when(~draw, F.col(c))).over(w).alias(f"real_{c}") for c in ("precision", "recall")}
+    out = shares.select("*", *real.values()).where(draw).groupBy("least")
+    p = lambda c: F.avg((F.col(c) >= F.col(f"real_{c}")).cast("double"))
+    out = out.agg(F.first("real_precision").alias("real"), F.avg("precision").alias("null_mean"), p("precision").alias("p"), F.first("real_recall").alias("real_recall"), F.avg("recall").alias("null_recall"), p("recall").alias("p_recall"))
+    return out.orderBy("least")
 
 
 # vectors

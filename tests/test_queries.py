@@ -46,6 +46,17 @@ def test_permutation_null_is_repeatable(spark):
     assert a == b and 0 <= a["p"] <= 1 and 0 <= a["null_mean"] <= 1
 
 
+def test_permutation_null_is_whole(spark):
+    got = registry.queries()["permutation_null"](spark, SF).collect()
+    spikes = {r["least"]: r for r in registry.queries()["spike_precision_recall"](spark, SF).collect()}
+    assert [r["least"] for r in got] == [2.0, 2.5, 3.0]
+    for r in got:
+        want = spikes[r["least"]]
+        assert r["real"] == pytest.approx(want["precision"] or 0) and r["real_recall"] == pytest.approx(want["recall"])
+        for p, null in (("p", "null_mean"), ("p_recall", "null_recall")):
+            assert 0 <= r[null] <= 1 and 0 <= r[p] <= 1 and r[p] * 2000 == pytest.approx(round(r[p] * 2000))
+
+
 def test_hash_split(spark):
     got = registry.queries()["hash_split"](spark, SF).toPandas()
     share = got.groupby("event_type")["part"].apply(lambda p: (p == "dev").mean())
