@@ -13,7 +13,7 @@ from ..operators import signals as G
 from ..operators import sweep as W
 from ..operators import timeline as T
 from . import tables as B
-from .registry import CANDIDATES, F1, GREEDY, IOU, MERGED, RATES, SPANS, merged_sql, query  # noqa: F401
+from .registry import CANDIDATES, F1, GREEDY, IOU, MERGED, RATES, SPANS, _sql, merged_sql, query  # noqa: F401
 
 CONSENSUS = f"""WITH RECURSIVE {SPANS}, o AS (SELECT video_id, class_name, event_id % 3 AS run, t0, t1, confidence, row_number() OVER (PARTITION BY video_id, class_name ORDER BY t0, t1, event_id) AS rn FROM spans),
 r(video_id, class_name, rn, seeds, seed) AS (
@@ -139,8 +139,9 @@ def parse_model_json_rejects(spark, d):
 SUBMITTED = f"{SPANS}, sv AS (SELECT DISTINCT user_id AS video_id, CAST(1 + user_id % 3 AS INTEGER) AS level, 700.0::DOUBLE AS duration FROM events WHERE user_id % 13 <> 0), sr AS (SELECT s.video_id, s.level, event_id, class_name, t0, t1, confidence, duration, CASE WHEN event_id % 4 = 0 THEN 'short' ELSE ' event number ' || event_id || ' seen here ' END AS x, row_number() OVER (PARTITION BY s.video_id ORDER BY confidence DESC, event_id) AS k FROM spans s JOIN sv ON sv.video_id = s.video_id)"
 
 
-def submitted(spark, d):
-    v = B.videos(spark, d).where("video_id % 13 <> 0").withColumn("duration", F.lit(700.0))
+def submitted(spark, d, gaps=True):
+    """Rows and manifest; with gaps, the manifest lacks the videos whose id 13 divides."""
+    v = B.videos(spark, d).where("video_id % 13 <> 0" if gaps else "true").withColumn("duration", F.lit(700.0))
     x = F.when(F.col("event_id") % 4 == 0, "short").otherwise(F.concat(F.lit(" event number "), F.col("event_id"), F.lit(" seen here ")))
     return D.submission_events(B.spans(spark, d).drop("level").withColumn("explanation", x), v), v
 
@@ -151,6 +152,12 @@ def submission_rows(spark, d):
     return submitted(spark, d)[0]
 
 
+@query(_sql["submission_rows"].replace(" WHERE user_id % 13 <> 0", ""))
+def submission_rows_all_videos(spark, d):
+    """As submission_rows, with a manifest of every video."""
+    return submitted(spark, d, gaps=False)[0]
+
+
 @query("""WITH sb AS (SELECT user_id AS video_id, event_id, CASE WHEN user_id % 17 = 0 AND event_id % 2 = 1 THEN 1 ELSE 0 END AS entry, CAST(event_id AS BIGINT) AS ord, event_type AS class_name,
  CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS t0, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value * 2 - event_id % 7 END AS t1, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 'brief' ELSE 'long enough to be kept as is' END AS explanation FROM events WHERE user_id % 19 <> 0),
  v AS (SELECT DISTINCT user_id AS video_id, 1 + user_id % 3 AS level, 300.0 AS duration FROM events WHERE user_id % 13 <> 0), k AS (SELECT sb.*, level, duration FROM sb JOIN v ON v.video_id = sb.video_id), f AS (SELECT * FROM k WHERE entry = 0)

@@ -46,6 +46,14 @@ def test_permutation_null_is_repeatable(spark):
     assert a == b and 0 <= a["p"] <= 1 and 0 <= a["null_mean"] <= 1
 
 
+def test_submission_rows_of_all_videos(spark):
+    from spanforge.plans import tables
+
+    rows = registry.queries()["submission_rows_all_videos"](spark, SF)
+    assert {r["video_id"] for r in rows.select("video_id").distinct().collect()} == {r["video_id"] for r in tables.videos(spark, SF).collect()}
+    assert rows.where("video_id % 13 = 0").count() > 0
+
+
 def test_permutation_null_is_whole(spark):
     got = registry.queries()["permutation_null"](spark, SF).collect()
     spikes = {r["least"]: r for r in registry.queries()["spike_precision_recall"](spark, SF).collect()}
