@@ -1,4 +1,4 @@
-"""Suffix-array dedup (2): prefix doubling over sampled positions of the bytes."""
+"""Suffix-array dedup (2): repeated byte strings by hashes at sampled positions, in place of prefix doubling."""
 
 from __future__ import annotations
 
