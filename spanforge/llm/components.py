@@ -12,18 +12,18 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of the links (a, b).
 
     In each round a node points to the node of least hash among itself and its
-    neighbours, and links are carried over to where their ends point. Hashes
-    make chains short, so the rounds grow with the logarithm of the input at
-    most in expectation. A hub is aggregated before the shuffle, and joins on it
+    neighbours, and links are carried over to where their ends point. Each round
+    has a hash of its own, so that a chain is cut at places that do not depend on
+    the rounds before, and shrinks by a constant factor in expectation. A hub is aggregated before the shuffle, and joins on it
     are skew joins that Spark splits.
     """
     links = written(links.where("a <> b").select("a", "b").distinct())
-    found = None
+    found, k = None, 0
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("n"))
         to = both.groupBy("a").agg(F.min(ranked("b")).alias("least")).select(F.col("a").alias("node"), F.least("least", ranked("a"))["n"].alias("to"))
-        to = written(to)
+        to, k = written(to), k + 1
         if found is None:
             found = to
         else:
