@@ -49,6 +49,14 @@ def written(df: DataFrame, large: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt by key and written to the shared folder as a table that joins on key read without a shuffle of it."""
+    n, name = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"spanforge_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", scratch(df.sparkSession)).bucketBy(n, key).saveAsTable(name)
+    release(df.sparkSession)
+    return df.sparkSession.table(name)
+
+
 def no_text_is_empty(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (nulls as NULL_ID) and text (nulls as ''), and the columns named in more."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

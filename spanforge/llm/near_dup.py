@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codes import BASES, Runs, mix, signed, word_codes, words
-from .common import identified, join_classes, own_ids, written
+from .common import bucketed, identified, join_classes, own_ids, written
 from .components import components
 
 #: Words of a shingle, and the least similarity of a link as a share of 100.
@@ -272,8 +272,8 @@ def block_pairs(spots: DataFrame, members: DataFrame, sets: DataFrame, similarit
     blocks = lambda c: F.ceil(c / BLOCK)
     tops, rest = blocks(F.col("top.n")), blocks(F.col("all") - F.col("top.n"))
     # few sets are one block; else the top label's blocks come first
-    tokens = tokens.select("token", F.when(F.col("all") <= BLOCK, 0).otherwise(tops).alias("tops"), F.when(F.col("all") <= BLOCK, 1).otherwise(rest).alias("rest"), F.col("top.label").alias("top"))
-    dealt = rows.join(tokens, "token").withColumn("h", F.xxhash64("rep"))
+    tokens = tokens.select("token", "all", F.when(F.col("all") <= BLOCK, 0).otherwise(tops).alias("tops"), F.when(F.col("all") <= BLOCK, 1).otherwise(rest).alias("rest"), F.col("top.label").alias("top"))
+    dealt = join_classes(rows, written(tokens), "token", "all", rows.count()).withColumn("h", F.xxhash64("rep"))
     is_top = (F.col("tops") > 0) & (F.col("label") == F.col("top"))
     dealt = dealt.withColumn("own", F.when(is_top, F.pmod("h", "tops")).otherwise(F.col("tops") + F.pmod("h", "rest")).cast("int"))
     met = F.sequence(F.when(is_top, F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("rest") - 1)
@@ -373,7 +373,9 @@ def joined(rows: DataFrame, n: int, similarity: int) -> DataFrame:
     # groups that have a candidate, within or beside them
     in_tokens = spots.select("group_id").distinct().withColumn("shared", F.lit(1))
     groups = written(groups.join(per_group.join(in_tokens, "group_id", "left").where("shared = 1 OR sets > 1").drop("shared"), "group_id"))
-    sets = written(described(rows.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), n), large=True)
+    # dealt by id before the join, so that the rounds can join the table without moving texts
+    by_id = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    sets = bucketed(described(by_id.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), n), "rep")
 
     parts = groups.where("rep = first").select("group_id", "sets", "rep", F.col("rep").alias("label"))
     inside = groups.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
@@ -381,8 +383,9 @@ def joined(rows: DataFrame, n: int, similarity: int) -> DataFrame:
     for k in range(ROUNDS):
         live = written(spots.join(parts, "group_id"))
         at = F.struct("rep", "label", "size", "place")
-        lead = live.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), at.alias("at")))["at"].alias("x"), F.min("label").alias("m"), F.max("label").alias("o"), F.max("sets").alias("most")).where("m <> o").select("token", "x", "most")
-        live = written(live.join(lead, "token").select("token", "group_id", "x", "most", at.alias("y")))
+        lead = live.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), at.alias("at")))["at"].alias("x"), F.min("label").alias("m"), F.max("label").alias("o"), F.max("sets").alias("most"), F.count("*").alias("spots"))
+        lead = written(lead.where("m <> o").select("token", "x", "most", "spots"))
+        live = written(join_classes(live, lead, "token", "spots", live.count()).select("token", "group_id", "x", "most", at.alias("y")))
         met = live.where(F.col("x.label") != F.col("y.label")).where(possible("x", "y", similarity)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         more = verified(met.unionByName(inside) if k == 0 else met, sets, n, similarity)
         spots = live.where("x.rep <> y.rep OR most > 1").select("token", "group_id", F.col("y.size").alias("size"), F.col("y.place").alias("place")).distinct()
