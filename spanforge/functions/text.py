@@ -38,8 +38,16 @@ def script_safe(json: Column) -> Column:
 
 
 def error_kind(message) -> Column:
-    m = F.lower(col(message))
-    return F.when(m.rlike("429|rate.?limit|quota"), "rate limit").when(m.rlike("time.?out|deadline"), "timeout").otherwise("other")
+    """What a message of a failed call is about; blank ones are `none`."""
+    m = F.lower(F.coalesce(col(message), F.lit("")))
+    # fixed values: the two patterns
+    return F.when(m.rlike("429|too many requests"), "rate limit").when(m.rlike("timeout|timed out"), "timeout").when(F.trim(m) == "", "none").otherwise("other")
+
+
+def sibling(path, kind: str = "windows") -> Column:
+    """The path of a run's file of another kind: a.events.jsonl gives a.windows.jsonl; NULL for other names."""
+    p = col(path)
+    return F.when(p.endswith(".events.jsonl"), F.regexp_replace(p, r"\.events\.jsonl$", f".{kind}.jsonl"))
 
 
 def byte_range(header) -> tuple[Column, Column]:
@@ -56,8 +64,13 @@ def setting(line) -> Column:
     return F.when((line != "") & ~line.startswith("#") & line.contains("="), F.struct(F.trim(F.get(kv, F.lit(0))).alias("key"), value.alias("value")))
 
 
+def on_scale(t, duration) -> Column:
+    """A time as a share of the duration, cut to 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(t) / F.greatest(col(duration), F.lit(1e-9))))
+
+
 def ticks(duration) -> Column:
-    """Marks of a ruler: every 5, 10, 30 or 60 by the duration."""
+    """Marks of a ruler: every 5, 10, 30 or 60 by the duration; the limits are fixed values."""
     d = col(duration)
-    step = F.when(d <= 60, 5).when(d <= 180, 10).when(d <= 600, 30).otherwise(60)
+    step = F.when(d <= 20, 5).when(d <= 60, 10).when(d <= 300, 30).otherwise(60)
     return F.sequence(F.lit(0), F.floor(d).cast("int"), step)

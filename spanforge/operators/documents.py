@@ -11,9 +11,8 @@ EVENT = "array<variant>"
 
 
 def json_part(text: Column) -> Column:
-    """From the first { to the last }, code fences aside."""
-    plain = F.regexp_replace(F.trim(text), r"```(?:json)?", "")
-    return F.nullif(F.regexp_extract(plain, r"(?s)\{.*\}", 0), F.lit(""))
+    """From the first { to the last }; so code fences around it go, and those inside an explanation stay."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def parse_answers(df: DataFrame, keys: list[str], text: str, win, classes: list[str]) -> DataFrame:
@@ -93,7 +92,7 @@ def submission_events(df: DataFrame, videos: DataFrame, top: int = 1) -> DataFra
     from ..functions.spans import clamp_span
 
     rows = df.join(videos, ["video_id"])
-    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("confidence"), "event_id"))
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "event_id"))
     rows = rows.withColumn("_rank", rank).where((F.col("level") > 1) | (F.col("_rank") <= top))
     a, b = clamp_span("t0", "t1", "duration")
     timed = F.col("level") > 1
@@ -109,3 +108,44 @@ def submission_json(rows: DataFrame, manifest: DataFrame, submission_id: str, mo
     events = F.coalesce(F.transform("x", lambda s: s["e"]), F.from_json(F.lit("[]"), "array<struct<class_name:string,start_time_sec:double,end_time_sec:double,explanation:string>>"))
     head = [F.lit(submission_id).alias("submission_id"), F.lit(model_name).alias("model_name")]
     return out.select("video_id", F.to_json(F.struct(*head, "video_id", events.alias("events")), {"ignoreNullFields": "false"}).alias("prediction"))
+
+
+def answers_of(rows: DataFrame, key: str) -> DataFrame:
+    """key, answer: the canonical answer of rows (key, ord, class_name, start, end, confidence, explanation): two decimals, confidence 1 where there is none, at most 300 characters of explanation."""
+    two = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
+    c = F.round(F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)), 2).alias("confidence")
+    e = F.struct("class_name", two("start"), two("end"), c, F.substring(F.coalesce("explanation", F.lit("")), 1, 300).alias("explanation"))
+    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", e.alias("e")))).alias("x"))
+    return lists.select(key, answer_json(F.transform("x", lambda s: s["e"])).alias("answer"))
+
+
+def sft_sample(system: Column, user: Column, answer: Column, video: Column) -> Column:
+    """A training row: the messages of the three roles, and the video that the user's begins with."""
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.struct(F.array(said("system", system), said("user", F.concat(F.lit("<video>"), user)), said("assistant", answer)).alias("messages"), F.array(video).alias("videos"))
+
+
+RUNTIME = "struct<frames_processed:bigint,chunks_processed:bigint,end_to_end_internal_time_ms:double,model_runtimes:array<struct<model_name:string,call_count:bigint,total_time_ms:double>>>"
+
+
+def submission_entries(rows: DataFrame, manifest: DataFrame, runtimes: DataFrame | None = None) -> DataFrame:
+    """manifest_ord, video_id, entry: the JSON of each video of the manifest, in its order, with an empty list where there are no rows (video_id, ord, class_name, t0, t1, explanation).
+
+    Times are written even where they are null, explanations only where there is
+    one. Videos without a row in runtimes (video_id, runtime) have the default.
+    """
+    # null fields are left out of an event's JSON but for the two times, so these are written by hand
+    bare = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""))
+    rest = F.regexp_replace(F.to_json(F.struct(F.nullif("explanation", F.lit("")).alias("explanation"))), r"^\{(.*)\}$", "$1")
+    head = F.regexp_replace(F.to_json(F.struct("class_name")), r"\}$", "")
+    event = F.concat(head, F.lit(',"start_time_sec":'), bare("t0"), F.lit(',"end_time_sec":'), bare("t1"), F.when(rest != "", F.concat(F.lit(","), rest)).otherwise(""), F.lit("}"))
+    lists = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ord", event.alias("e")))).alias("x"))
+    out = manifest.join(lists, "video_id", "left")
+    default = F.struct(F.lit(0).cast("long").alias("frames_processed"), F.lit(1).cast("long").alias("chunks_processed"), F.lit(0.0).alias("end_to_end_internal_time_ms"), F.from_json(F.lit("[]"), "array<struct<model_name:string,call_count:bigint,total_time_ms:double>>").alias("model_runtimes"))
+    if runtimes is not None:
+        out = out.join(runtimes.select("video_id", F.col("runtime").cast(RUNTIME).alias("runtime")), "video_id", "left").withColumn("runtime", F.coalesce("runtime", default))
+    else:
+        out = out.withColumn("runtime", default)
+    events = F.concat(F.lit("["), F.array_join(F.coalesce(F.transform("x", lambda s: s["e"]), F.array().cast("array<string>")), ","), F.lit("]"))
+    entry = F.concat(F.regexp_replace(F.to_json(F.struct("video_id")), r"\}$", ""), F.lit(',"events":'), events, F.lit(',"runtime_metadata":'), F.to_json("runtime"), F.lit("}"))
+    return out.select("manifest_ord", "video_id", entry.alias("entry")).orderBy("manifest_ord")

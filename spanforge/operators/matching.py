@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import Credit, f1, iou, overlap, precision, recall, within
+from .islands import number_runs
 
 #: Marks of the levels, fixed values.
 MARKS = {1: 25.0, 2: 35.0, 3: 40.0}
@@ -16,23 +17,60 @@ def indexed(events: DataFrame, name: str, keys=("video_id",), order=("class_name
     return events.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
-def sides(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """Truth joined to predictions of the same video and class, as g0, g1, p0, p1."""
-    g = truth.select("video_id", "class_name", "gi", F.col("t0").alias("g0"), F.col("t1").alias("g1"))
-    p = pred.select("video_id", "class_name", "pi", F.col("t0").alias("p0"), F.col("t1").alias("p1"))
-    return g.join(p, ["video_id", "class_name"])
+def sides(truth: DataFrame, pred: DataFrame, gap: float | None = 0.0) -> DataFrame:
+    """Truth joined to predictions of the same video, class and island, as g0, g1, p0, p1.
+
+    An island is a maximal run of spans of either side within `gap` of each
+    other, so pairs that overlap, or that start within the gap, share one; the
+    join's work is the product within islands, not within videos. gap None makes
+    one island of each video and class.
+    """
+    both = truth.select("video_id", "class_name", "t0", "t1", F.col("gi").alias("_g"), F.lit(None).cast("int").alias("_p"))
+    both = both.unionByName(pred.select("video_id", "class_name", "t0", "t1", F.lit(None).cast("int").alias("_g"), F.col("pi").alias("_p")))
+    reach = F.max("t1").over(Window.partitionBy("video_id", "class_name").orderBy("t0").rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("island", F.lit(0).cast("long")) if gap is None else number_runs(both, ["video_id", "class_name"], ["t0"], F.col("t0") > reach + gap, "island")
+    g = both.where("_g IS NOT NULL").select("video_id", "class_name", "island", F.col("_g").alias("gi"), F.col("t0").alias("g0"), F.col("t1").alias("g1"))
+    p = both.where("_p IS NOT NULL").select("video_id", "class_name", "island", F.col("_p").alias("pi"), F.col("t0").alias("p0"), F.col("t1").alias("p1"))
+    return g.join(p, ["video_id", "class_name", "island"])
 
 
 def candidates(truth: DataFrame, pred: DataFrame, threshold: float = 0.5, tolerance: float | None = None, temporal: bool = True) -> DataFrame:
     """Pairs that may be matched, with their iou; class alone decides where times don't count."""
-    both = sides(truth, pred)
     if not temporal:
-        return both.select("video_id", "class_name", "gi", "pi", F.lit(1.0).alias("iou"))
+        g, p = truth.select("video_id", "class_name", "gi"), pred.select("video_id", "class_name", "pi")
+        return g.join(p, ["video_id", "class_name"]).select("video_id", "class_name", "gi", "pi", F.lit(1.0).alias("iou"))
+    both = sides(truth, pred, tolerance if tolerance is not None else 0.0 if threshold > 0 else None)
     score = iou("g0", "g1", "p0", "p1")
     ok = within("g0", "g1", "p0", "p1", tolerance) if tolerance is not None else score >= threshold
     if tolerance is None and threshold > 0:
         both = both.where((F.col("g0") < F.col("p1")) & (F.col("p0") < F.col("g1")))
-    return both.where(ok).select("video_id", "class_name", "gi", "pi", score.alias("iou"))
+    return both.where(ok).select("video_id", "class_name", "island", "gi", "pi", score.alias("iou"))
+
+
+def by_class(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """The matches where class alone counts: the first of a video and class with the first, and so on, which is what the greedy order gives for equal scores."""
+    nth = lambda i: F.row_number().over(Window.partitionBy("video_id", "class_name").orderBy(i)).alias("_k")
+    g, p = truth.select("video_id", "class_name", "gi", nth("gi")), pred.select("video_id", "class_name", "pi", nth("pi"))
+    return g.join(p, ["video_id", "class_name", "_k"]).select("video_id", "class_name", F.col("gi").cast("int").alias("gi"), F.col("pi").cast("int").alias("pi"), F.lit(1.0).alias("iou"))
+
+
+def match_by_level(truth: DataFrame, pred: DataFrame, videos: DataFrame, threshold: float = 0.5, tolerance: float | None = None) -> DataFrame:
+    """video_id, class_name, gi, pi, iou of the matches under the policy of each video's level.
+
+    On level 1 class alone decides, and events without times may match. Elsewhere
+    both need times, and an iou of the threshold, or ends within the tolerance of
+    each other, with the iou that they have, even 0.
+    """
+    one, rest = videos.where("level = 1").select("video_id"), videos.where("level > 1").select("video_id")
+    timed = lambda df: df.join(rest, "video_id", "left_semi").where("t0 IS NOT NULL AND t1 IS NOT NULL")
+    both = sides(timed(truth), timed(pred), (tolerance or 0.0) if threshold > 0 else None)
+    score = iou("g0", "g1", "p0", "p1")
+    ok = score >= threshold
+    if tolerance is not None:
+        ok = ok | within("g0", "g1", "p0", "p1", tolerance)
+    pairs = both.where(ok).select("video_id", "class_name", "island", "gi", "pi", score.alias("iou"))
+    untimed = by_class(truth.join(one, "video_id", "left_semi"), pred.join(one, "video_id", "left_semi"))
+    return greedy_match(pairs).unionByName(untimed)
 
 
 def interval_join(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -50,9 +88,10 @@ def interval_join(a: DataFrame, b: DataFrame, keys: list[str], width: float) ->
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """One-to-one: pairs in order of (-iou, gi, pi), each taken if both sides are free.
 
-    Classes never compete, so the fold runs over one video's candidates of one
-    class; its size is what bounds memory.
+    Islands never compete, so the fold runs over one island's candidates (those
+    of a video and class where there is no island); that is what bounds memory.
     """
+    keys = ["video_id", "class_name", *(["island"] if "island" in pairs.columns else [])]
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), "gi", "pi", "iou")))
     kind = "struct<gs:array<int>,ps:array<int>,taken:array<struct<gi:int,pi:int,iou:double>>>"
     empty = F.from_json(F.lit('{"gs":[],"ps":[],"taken":[]}'), kind)
@@ -66,8 +105,8 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
         )
         return F.when(free, took).otherwise(s)
 
-    pairs = pairs.select("video_id", "class_name", F.col("gi").cast("int").alias("gi"), F.col("pi").cast("int").alias("pi"), "iou")
-    found = pairs.groupBy("video_id", "class_name").agg(F.aggregate(ordered, empty, step)["taken"].alias("taken"))
+    pairs = pairs.select(*keys, F.col("gi").cast("int").alias("gi"), F.col("pi").cast("int").alias("pi"), "iou")
+    found = pairs.groupBy(*keys).agg(F.aggregate(ordered, empty, step)["taken"].alias("taken"))
     return found.select("video_id", "class_name", F.explode("taken").alias("m")).select("video_id", "class_name", "m.gi", "m.pi", "m.iou")
 
 
@@ -109,6 +148,7 @@ def per_video_credit(rows: DataFrame, videos: DataFrame, credit: Credit) -> Data
 def consensus(runs: DataFrame, duration: float, least_runs: int = 2, share: float = 0.1) -> DataFrame:
     """Events of several runs that agree: each, in order of start, joins the first seed that it shares `share` of the longer one's length with, else is a seed.
 
+    A seed and what joins it overlap, so each island of overlapping events is folded by itself.
     Clusters of at least so many runs stay, as video_id, class_name, t0, t1, confidence, n_agree.
     """
     row = "struct<t0:double,t1:double,event_id:bigint,run:bigint,confidence:double>"
@@ -125,7 +165,9 @@ def consensus(runs: DataFrame, duration: float, least_runs: int = 2, share: floa
         return F.when(at == 0, F.array_append(acc, new)).otherwise(F.transform(acc, lambda s, i: F.when(i + 1 == at, put(s)).otherwise(s)))
 
     start = F.from_json(F.lit("[]"), f"array<{seed}>")
-    lists = runs.groupBy("video_id", "class_name").agg(F.array_sort(F.collect_list(F.struct("t0", "t1", "event_id", "run", "confidence"))).cast(f"array<{row}>").alias("xs"))
+    reach = F.max("t1").over(Window.partitionBy("video_id", "class_name").orderBy("t0").rowsBetween(Window.unboundedPreceding, -1))
+    runs = number_runs(runs, ["video_id", "class_name"], ["t0"], F.col("t0") > reach, "island")
+    lists = runs.groupBy("video_id", "class_name", "island").agg(F.array_sort(F.collect_list(F.struct("t0", "t1", "event_id", "run", "confidence"))).cast(f"array<{row}>").alias("xs"))
     found = lists.select("video_id", "class_name", F.explode(F.aggregate("xs", start, lambda a, x: step(a, x).cast(f"array<{seed}>"))).alias("c"))
     out = found.select("video_id", "class_name", "c.t0", F.least(F.col("c.t1"), F.lit(duration)).alias("t1"), "c.confidence", F.size("c.runs").alias("n_agree"))
     return out.where(F.col("n_agree") >= least_runs)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import nearest_rank
-
 #: Trials of a permutation null that are held at once.
 CHUNK = 100
 
@@ -39,8 +37,28 @@ def velocity(df: DataFrame, keys: list[str], t: str, x: str, y: str, order: list
 
 def latency_profile(df: DataFrame, keys: list[str], ms: str) -> DataFrame:
     """Calls, total, mean, p50 and p95 by nearest rank, and the greatest."""
-    t = df.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum(ms).alias("total_ms"), F.avg(ms).alias("mean_ms"), F.collect_list(ms).alias("_xs"), F.max(ms).alias("max_ms"))
-    return t.withColumn("p50_ms", nearest_rank("_xs", 0.5)).withColumn("p95_ms", nearest_rank("_xs", 0.95)).drop("_xs")
+    counts = df.groupBy(*keys, F.col(ms).alias("_x")).agg(F.count("*").alias("_n"))  # equal values are one row from here on
+    last = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_last", last).withColumn("_all", F.sum(F.when(F.col("_x").isNotNull(), F.col("_n"))).over(Window.partitionBy(*keys)))
+    ranked = ranked.withColumn("_last", F.col("_last") - F.sum(F.when(F.col("_x").isNull(), F.col("_n")).otherwise(0)).over(Window.partitionBy(*keys)))
+    at = lambda q: F.min(F.when(F.col("_x").isNotNull() & (F.col("_last") > F.floor(q * (F.col("_all") - 1))), F.col("_x")))
+    t = ranked.groupBy(*keys).agg(F.sum("_n").alias("calls"), F.sum(F.col("_x") * F.col("_n")).alias("total_ms"), F.max("_x").alias("max_ms"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), F.max("_all").alias("_all"))
+    return t.withColumn("mean_ms", F.col("total_ms") / F.col("_all")).drop("_all")
+
+
+def hash_split(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:
+    """df with part dev or train, by a hash of the key; each label has its least hash in dev, and one that is all dev has its rows in train too.
+
+    No row is sorted: the label's least hash and whether it has train rows are aggregates.
+    """
+    h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), 1, 8), 16, 10).cast("long")
+    rows = df.withColumn("_h", h)
+    low = F.col("_h") % 10_000 < int(10_000 * share)
+    per = rows.groupBy(label).agg(F.min(F.struct("_h", key)).alias("_least"), F.count("*").alias("_n"), F.count_if(low).alias("_low"), F.min_by(low, F.struct("_h", key)).alias("_has"))
+    rows = rows.join(per, label).withColumn("_dev", low | (F.struct("_h", key) == F.col("_least")))
+    bare = F.col("_n") == F.col("_low") + F.when(F.col("_has"), 0).otherwise(1)
+    part = F.when(F.col("_dev") & bare, F.array(F.lit("dev"), F.lit("train"))).when(F.col("_dev"), F.array(F.lit("dev"))).otherwise(F.array(F.lit("train")))
+    return rows.select(*df.columns, F.explode(part).alias("part"))
 
 
 def softmax(xs: Column) -> Column:

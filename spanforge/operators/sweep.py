@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import islands, matching
 
 #: The grid, fixed values.
-MIN_CONF, GAPS, MIN_DUR = (0.0, 0.3, 0.4, 0.5, 0.6, 0.7), (0.0, 2.0, 6.0, 12.0), (0.0, 1.0, 2.0)
+MIN_CONF, GAPS, MIN_DUR = (0.0, 0.25, 0.35, 0.5, 0.65, 0.8), (0.0, 3.0, 6.0, 12.0), (0.0, 1.0, 3.0)
 
 
 def grid(spark, confs=MIN_CONF, gaps=GAPS, durs=MIN_DUR) -> DataFrame:

@@ -29,8 +29,11 @@ def clip_to_windows(windows: DataFrame, events: DataFrame, least: float = 0.5) -
     return out.select("w.video_id", "w.w0", "w.w1", "e.class_name", F.when(known, r0).alias("r0"), F.when(known, r1).alias("r1"))
 
 
-def as_of(points: DataFrame, marks: DataFrame, key: str, at: str, mark: str, forward: bool = False) -> DataFrame:
-    """points with the last mark at or before their time (forward: the first at or after it), in one sort by (key, time); NULL without one."""
+def as_of(points: DataFrame, marks: DataFrame, key: str, at: str, mark: str, forward: bool = False, nearest: bool = False) -> DataFrame:
+    """points with the last mark at or before their time (forward: the first at or after it), in one sort by (key, time).
+
+    Without one it is NULL; nearest: then the key's first mark (forward: its last one).
+    """
     p = points.select("*", F.col(at).alias("_t"), F.lit(None).cast(marks.schema[mark].dataType).alias("_m"), F.lit(1).alias("_point"))
     m = marks.select(key, F.col(mark).alias("_t"), F.col(mark).alias("_m"), F.lit(0).alias("_point"))
     both = p.unionByName(m, allowMissingColumns=True)
@@ -38,4 +41,7 @@ def as_of(points: DataFrame, marks: DataFrame, key: str, at: str, mark: str, for
         w = Window.partitionBy(key).orderBy(F.desc("_t"), "_point").rowsBetween(Window.unboundedPreceding, 0)
     else:
         w = Window.partitionBy(key).orderBy("_t", "_point").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(mark, F.last("_m", ignorenulls=True).over(w)).where("_point = 1").drop("_t", "_m", "_point")
+    found = F.last("_m", ignorenulls=True).over(w)
+    if nearest:
+        found = F.coalesce(found, (F.max if forward else F.min)("_m").over(Window.partitionBy(key)))
+    return both.withColumn(mark, found).where("_point = 1").drop("_t", "_m", "_point")

@@ -12,6 +12,7 @@ from ..operators import matching as M
 from ..operators import signals as G
 from ..operators import sweep as W
 from ..operators import timeline as T
+from ..operators import tracks as R
 from . import tables as B
 from .registry import CANDIDATES, F1, GREEDY, IOU, MERGED, RATES, SPANS, _sql, merged_sql, query  # noqa: F401
 
@@ -32,7 +33,7 @@ def consensus_k2(spark, d):
 
 
 SWEEP_GRID = """grid AS (SELECT CAST(row_number() OVER (ORDER BY a.i, b.i, c.i) - 1 AS INTEGER) AS grid_ord, a.v::DOUBLE AS min_conf, b.v::DOUBLE AS gap_tol, c.v::DOUBLE AS min_dur
- FROM (VALUES (0, 0.0), (1, 0.3), (2, 0.4), (3, 0.5), (4, 0.6), (5, 0.7)) a(i, v), (VALUES (0, 0.0), (1, 2.0), (2, 6.0), (3, 12.0)) b(i, v), (VALUES (0, 0.0), (1, 1.0), (2, 2.0)) c(i, v))"""
+ FROM (VALUES (0, 0.0), (1, 0.25), (2, 0.35), (3, 0.5), (4, 0.65), (5, 0.8)) a(i, v), (VALUES (0, 0.0), (1, 3.0), (2, 6.0), (3, 12.0)) b(i, v), (VALUES (0, 0.0), (1, 1.0), (2, 3.0)) c(i, v))"""
 SWEEP = f"""WITH RECURSIVE {SPANS}, {SWEEP_GRID}, gt AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY class_name, t0, event_id) - 1 AS gi FROM spans WHERE event_id % 2 = 0),
 k AS (SELECT grid_ord, gap_tol, min_dur, video_id, class_name, event_id, t0, t1 + gap_tol AS t1 FROM spans JOIN grid ON confidence >= min_conf WHERE event_id % 2 = 1),
 kf AS (SELECT *, CASE WHEN t0 <= max(t1) OVER (PARTITION BY grid_ord, video_id, class_name ORDER BY t0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS b FROM k),
@@ -119,7 +120,7 @@ def answers(spark, d):
     return e.select("event_id", text.alias("text"))
 
 
-BODY = r"b AS (SELECT event_id, text, nullif(regexp_extract(regexp_replace(trim(text), '```(json)?', '', 'g'), '\{.*\}', 0, 's'), '') AS body FROM tx), j AS (SELECT event_id, text, CASE WHEN json_valid(body) THEN body::JSON END AS body FROM b)"
+BODY = r"b AS (SELECT event_id, text, nullif(regexp_extract(text, '\{.*\}', 0, 's'), '') AS body FROM tx), j AS (SELECT event_id, text, CASE WHEN json_valid(body) THEN body::JSON END AS body FROM b)"
 
 
 @query(f"""WITH {TEXTS}, {BODY}, e AS (SELECT event_id, unnest(CASE WHEN json_type(body, '$.events') = 'ARRAY' THEN from_json(json_extract(body, '$.events'), '["JSON"]') ELSE [] END) AS e, generate_subscripts(CASE WHEN json_type(body, '$.events') = 'ARRAY' THEN from_json(json_extract(body, '$.events'), '["JSON"]') ELSE [] END, 1) - 1 AS ord FROM j),
@@ -230,19 +231,27 @@ def stalled_tracks(spark, d):
     return I.sustained_runs(v, ["video_id", "class_name"], "t", speed < 5, 8.0, ["t", "event_id"])
 
 
-@query(f"""WITH {TRACKS}, h AS (SELECT floor(t / 6)::BIGINT AS bin, count(*) AS vehicles, coalesce(median(abs(vx)), 0) AS speed FROM ve GROUP BY 1),
-m AS (SELECT coalesce(median(speed) FILTER (speed > 0), 1e-6) AS reference FROM h), k AS (SELECT bin, vehicles >= 8 AND speed < 0.95 * reference AS flag, vehicles, speed FROM h, m),
-f AS (SELECT *, lag(flag) OVER (ORDER BY bin) AS before FROM k), r AS (SELECT *, sum(CASE WHEN NOT flag OR NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM f)
-SELECT min(bin) AS t0, max(bin) AS t1, count(*) AS n, max(vehicles) AS peak FROM r WHERE flag GROUP BY run HAVING max(bin) - min(bin) >= 1""")
+CONGESTION = """c0 AS (SELECT video_id % 3 AS scene, floor(t)::BIGINT AS bin, vx FROM ve), h AS (SELECT scene, bin, count(*) AS vehicles, coalesce(median(abs(vx)), 0) AS speed FROM c0 GROUP BY 1, 2),
+m AS (SELECT scene, coalesce(median(speed) FILTER (speed > 0), 1e-6) AS reference FROM h GROUP BY 1), k AS (SELECT h.scene, bin, vehicles >= {vehicles} AND speed < {share} * reference AS flag, vehicles FROM h JOIN m ON m.scene = h.scene),
+f AS (SELECT *, lag(flag) OVER (PARTITION BY scene ORDER BY bin) AS before FROM k), r AS (SELECT *, sum(CASE WHEN NOT flag OR NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY scene ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT scene, min(bin) AS t0, max(bin) AS t1, count(*) AS n, max(vehicles) AS peak FROM r WHERE flag GROUP BY scene, run HAVING max(bin) - min(bin) >= {least}"""
+
+
+def scenes(spark, d):
+    v = velocities(spark, d)
+    return v.select((F.col("video_id") % 3).alias("scene"), F.floor("t").cast("long").alias("bin"), F.abs("vx").alias("speed"))
+
+
+@query(f"WITH {TRACKS}, {CONGESTION.format(vehicles=8, share=0.45, least=6)}")
 def congestion(spark, d):
-    """Runs of bins with many objects at a median speed under a share of the usual one, with their peak count."""
-    h = velocities(spark, d).groupBy(F.floor(F.col("t") / 6).cast("long").alias("bin")).agg(F.count("*").alias("vehicles"), F.coalesce(F.median(F.abs("vx")), F.lit(0.0)).alias("speed"))
-    ref = h.agg(F.coalesce(F.median(F.when(F.col("speed") > 0, F.col("speed"))), F.lit(1e-6)).alias("reference"))
-    k = h.join(F.broadcast(ref)).withColumn("one", F.lit(1))
-    flag = (F.col("vehicles") >= 8) & (F.col("speed") < 0.95 * F.col("reference"))
-    runs = I.sustained_runs(k, ["one"], "bin", flag, 1.0)
-    inside = (F.col("k.bin") >= F.col("r.t0")) & (F.col("k.bin") <= F.col("r.t1")) & (F.col("k.one") == F.col("r.one"))
-    return runs.alias("r").join(k.alias("k"), inside).groupBy("r.t0", "r.t1", "r.n").agg(F.max("k.vehicles").alias("peak"))
+    """Runs of six hours or more with eight objects or more at a median speed below 0.45 of the scene's usual one."""
+    return R.congestion(scenes(spark, d), ["scene"], "bin", "speed")
+
+
+@query(f"WITH {TRACKS}, {CONGESTION.format(vehicles=2, share=0.95, least=1)}")
+def congestion_mild(spark, d):
+    """The same with limits that the events table meets more often."""
+    return R.congestion(scenes(spark, d), ["scene"], "bin", "speed", vehicles=2, share=0.95, least=1.0)
 
 
 HOURLY = f"{SPANS}, h0 AS (SELECT video_id, floor(t0)::BIGINT AS t, avg(value) AS x, min(event_id) AS event_id FROM spans GROUP BY 1, 2), h AS (SELECT h0.*, EXISTS (SELECT 1 FROM spans e WHERE e.class_name = 'error' AND e.video_id = h0.video_id AND h0.t >= e.t0 AND h0.t <= e.t1) AS label FROM h0)"
@@ -360,13 +369,13 @@ def dedupe_last(spark, d):
     return B.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query()
+@query("""WITH h AS (SELECT event_id, event_type, ('0x' || substr(md5(CAST(event_id AS VARCHAR) || '/11'), 1, 8))::BIGINT AS h FROM events),
+k AS (SELECT *, h % 10000 < 2000 OR (h, event_id) = (min(h) OVER w, first_value(event_id) OVER (PARTITION BY event_type ORDER BY h, event_id)) AS dev FROM h WINDOW w AS (PARTITION BY event_type)),
+a AS (SELECT event_type, bool_and(dev) AS bare FROM k GROUP BY 1)
+SELECT event_id, event_type, CASE WHEN dev THEN 'dev' ELSE 'train' END AS part FROM k UNION ALL SELECT event_id, k.event_type, 'train' FROM k JOIN a ON a.event_type = k.event_type WHERE bare""")
 def hash_split(spark, d):
-    """A repeatable split of each class into train and dev, a fifth, and at least one, to dev."""
-    e = B.table(spark, d, "events").select("event_id", "event_type")
-    w = Window.partitionBy("event_type")
-    k, n = F.row_number().over(w.orderBy(F.xxhash64("event_id", F.lit(11)), "event_id")), F.count("*").over(w)
-    return e.withColumn("part", F.when(k <= F.greatest(F.lit(1), F.floor(n / 5)), "dev").otherwise("train"))
+    """A repeatable split of each class into train and dev: a fifth by hash and at least one go to dev; a class that is all dev trains on that."""
+    return G.hash_split(B.table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type", 0.2, 11)
 
 
 @query("""SELECT l.l_orderkey, l.l_linenumber, date_diff('day', o.o_orderdate, l.l_shipdate) AS days FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey

@@ -57,14 +57,14 @@ def span_validity_report(spark, d):
 FROM g JOIN p ON g.video_id = p.video_id AND g.class_name = p.class_name AND g.t0 < p.t1 AND p.t0 < g.t1 WHERE {IOU} >= 0.5""")
 def iou_pairs(spark, d):
     g, p = B.truth(spark, d).withColumn("gi", F.col("event_id")), B.predictions(spark, d).withColumn("pi", F.col("event_id"))
-    return M.candidates(g, p, 0.5).withColumnsRenamed({"gi": "g_id", "pi": "p_id"})
+    return M.candidates(g, p, 0.5).drop("island").withColumnsRenamed({"gi": "g_id", "pi": "p_id"})
 
 
 @query(f"""WITH {SPANS}, {TRUTH_RAW} SELECT g.video_id, g.class_name, g.event_id AS g_id, p.event_id AS p_id, {IOU} AS iou
 FROM g JOIN p ON g.video_id = p.video_id AND g.class_name = p.class_name WHERE abs(g.t0 - p.t0) <= 15 AND abs(g.t1 - p.t1) <= 15""")
 def tolerance_pairs(spark, d):
     g, p = B.truth(spark, d).withColumn("gi", F.col("event_id")), B.predictions(spark, d).withColumn("pi", F.col("event_id"))
-    return M.candidates(g, p, tolerance=15.0).withColumnsRenamed({"gi": "g_id", "pi": "p_id"})
+    return M.candidates(g, p, tolerance=15.0).drop("island").withColumnsRenamed({"gi": "g_id", "pi": "p_id"})
 
 
 EXISTS = "EXISTS (SELECT 1 FROM p WHERE g.video_id = p.video_id AND g.class_name = p.class_name AND g.t0 < p.t1 AND p.t0 < g.t1)"
@@ -351,12 +351,12 @@ def next_marker_forward(spark, d):
 
 
 def queries():
-    from . import more  # noqa: F401
+    from . import extra, more  # noqa: F401
 
     return dict(_queries)
 
 
 def oracle_sql():
-    from . import more  # noqa: F401
+    from . import extra, more  # noqa: F401
 
     return dict(_sql)

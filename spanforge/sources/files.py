@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +62,13 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, problems) of JSON-lines files; of a video that comes again, the last line stays and the others are a problem."""
+    """(rows, problems) of JSON-lines files; of a video that comes again, the last line of the last path that has it stays and the others are a problem."""
+    order = [paths] if isinstance(paths, str) else list(paths)
     df = lines(spark, paths).withColumn("r", F.from_json("line", schema)).withColumn("ok", F.try_parse_json("line").isNotNull())
-    w = Window.partitionBy("r.video_id").orderBy(F.desc("file"), F.desc("n"))
+    given = F.lit(0)
+    for i, p in enumerate(order[1:], 1):
+        given = F.when(F.col("file").endswith(p.rsplit(":", 1)[-1].rstrip("/")), i).otherwise(given)
+    w = Window.partitionBy("r.video_id").orderBy(given.desc(), F.desc("file"), F.desc("n"))
     df = df.withColumn("k", F.when(F.col("ok") & F.col("r.video_id").isNotNull(), F.row_number().over(w)))
     why = F.when(~F.col("ok"), "not JSON").when(F.col("r.video_id").isNull(), "no video_id").when(F.col("k") > 1, "already seen, keeping the last")
     return df.where("k = 1").select("r.*"), df.select("file", "n", why.alias("problem")).where("problem IS NOT NULL")
@@ -94,9 +99,17 @@ def impure(rows: DataFrame) -> DataFrame:
 
 
 def durations(spark: SparkSession, path: str) -> DataFrame:
-    """video_id, duration of a TSV; rows without a number are left out."""
-    raw = spark.read.option("sep", "\t").schema("video_id string, cell string").csv(path)
-    return raw.select(F.trim("video_id").alias("video_id"), number("cell").alias("duration")).where("duration IS NOT NULL")
+    """video_id, duration of a TSV with a header, whatever the order of its columns; rows without a number are left out. A missing file, or one without the two columns, gives no rows."""
+    none = spark.createDataFrame([], "video_id string, duration double")
+    try:
+        raw = spark.read.option("sep", "\t").option("header", True).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
+    if not {"video_id", "duration"} <= set(raw.columns):
+        return none
+    return raw.select(F.trim("video_id").alias("video_id"), number("duration").alias("duration")).where("duration IS NOT NULL")
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:

@@ -54,7 +54,8 @@ def test_json_lines(spark, tmp_path):
 
 
 def test_small_readers(spark, tmp_path):
-    (tmp_path / "m.tsv").write_text("a\t1.5\nb\tx\nc\n")
+    assert files.durations(spark, str(tmp_path / "none.tsv")).collect() == []
+    (tmp_path / "m.tsv").write_text("duration\tvideo_id\n1.5\ta\nx\tb\n\tc\n")
     assert [tuple(r) for r in files.durations(spark, str(tmp_path / "m.tsv")).collect()] == [("a", 1.5)]
     (tmp_path / "f.jsonl").write_text(json.dumps({"video_id": "a", "level": 1, "series": [{"t": 0, "ego": 0.5, "n": 3}]}) + "\n" + json.dumps({"video_id": "b", "failed": "x"}))
     assert [(r["video_id"], r["t"], r["ego"]) for r in files.features(spark, str(tmp_path / "f.jsonl")).collect()] == [("a", 0, 0.5)]
