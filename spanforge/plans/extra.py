@@ -214,8 +214,8 @@ fl AS (SELECT h.video_id, day, vehicles, vehicles >= 3 AND speed < 0.45 * usual
 f3 AS (SELECT *, lag(flag) OVER (PARTITION BY video_id ORDER BY day) AS before FROM fl),
 r3 AS (SELECT *, sum(CASE WHEN NOT flag OR NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM f3),
 e3 AS (SELECT video_id, min(day)::DOUBLE AS a, max(day)::DOUBLE AS b, max(vehicles) AS peak FROM r3 WHERE flag GROUP BY video_id, run HAVING max(day) - min(day) >= 1),
-ev AS (SELECT video_id, 'stalled_or_broken_down_vehicle' AS class_name, round(a, 2) AS t0, round(b, 2) AS t1, round(round(least(0.9, 0.4 + (round(b, 2) - round(a, 2)) / 60)::DOUBLE, 9), 2)::DOUBLE AS confidence, 'A ' || CASE cls WHEN 1 THEN 'bicycle' WHEN 2 THEN 'car' WHEN 3 THEN 'motorcycle' WHEN 5 THEN 'bus' ELSE 'truck' END || ' remains stationary for ' || printf('%.0f', round(b, 2) - round(a, 2)) || ' seconds while other traffic continues around it.' AS explanation FROM e1
- UNION ALL SELECT video_id, 'loitering_or_suspicious_presence', round(a, 2), round(b, 2), round(round(least(0.9, 0.4 + (round(b, 2) - round(a, 2)) / 60)::DOUBLE, 9), 2)::DOUBLE, 'A person stays in the same location for ' || printf('%.0f', round(b, 2) - round(a, 2)) || ' seconds without moving on.' FROM e2
+ev AS (SELECT video_id, 'stalled_or_broken_down_vehicle' AS class_name, round(a, 2) AS t0, round(b, 2) AS t1, round(round(least(0.9, 0.4 + (b - a) / 60)::DOUBLE, 9), 2)::DOUBLE AS confidence, 'A ' || CASE cls WHEN 1 THEN 'bicycle' WHEN 2 THEN 'car' WHEN 3 THEN 'motorcycle' WHEN 5 THEN 'bus' ELSE 'truck' END || ' remains stationary for ' || printf('%.0f', b - a) || ' seconds while other traffic continues around it.' AS explanation FROM e1
+ UNION ALL SELECT video_id, 'loitering_or_suspicious_presence', round(a, 2), round(b, 2), round(round(least(0.9, 0.4 + (b - a) / 60)::DOUBLE, 9), 2)::DOUBLE, 'A person stays in the same location for ' || printf('%.0f', b - a) || ' seconds without moving on.' FROM e2
  UNION ALL SELECT video_id, 'traffic_congestion', a, b, 0.6, 'Vehicle density rises to ' || peak || ' while median speed falls to under half the scene baseline, sustained for ' || printf('%.0f', b - a) || ' seconds.' FROM e3),
 mb AS (SELECT *, CASE WHEN t0 - max(t1) OVER (PARTITION BY video_id, class_name ORDER BY t0, t1, explanation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 2 THEN 0 ELSE 1 END AS b FROM ev),
 mr AS (SELECT *, sum(b) OVER (PARTITION BY video_id, class_name ORDER BY t0, t1, explanation ROWS UNBOUNDED PRECEDING) AS run FROM mb),
