@@ -6,33 +6,17 @@ import codecs
 import hashlib
 import json
 import re
-import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import no_text_is_empty, null_id
-from .tokens import BLOCK, PLAIN, blocks, byte_letters
+from .tokens import BLOCK, PLAIN, UNSPACED, blocks, byte_letters
 
 #: Words kept in each of two generations, and parts kept.
 CACHED = 300_000
-#: White space of the tokenizer's patterns, fixed by Unicode's White_Space property.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-
-
-def letters_of(kind: str) -> str:
-    """A character class of all code points whose Unicode category starts with kind."""
-    found = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind]
-    starts = [b for a, b in zip([None, *found], found) if a is None or b != a + 1]
-    stops = [a for a, b in zip(found, [*found[1:], None]) if b != a + 1]
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, stops))
-
-
-def splitter():
-    """What the tokenizer's split keeps, a fixed rule: contractions, runs of letters, single numerals, runs of anything else but white space."""
-    letter, numeral = letters_of("L"), letters_of("N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{numeral}]|[^{WHITE}{letter}{numeral}]+").findall
-
+#: Symbols fed at once.
+STEP = 1 << 12
 
 #: The letters in order of their bytes, and back.
 LETTERS = byte_letters()
@@ -193,42 +177,53 @@ class Decoder:
 
 
 class WordBPE:
-    """Texts to ids and back under a word-end BPE file: NFC, one blank for white space, lower case, a split, merges per part."""
+    """Texts to ids and back under a word-end BPE file: NFC, one blank for white space, lower case, a split, merges per part.
+
+    What is held beside a text is about a block of it, or its longest stretch
+    without white space; ids and decoded text leave as soon as they are stable.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.library = Tokenizer.from_file(path)  # its normalizer and split only; merging and decoding are done here
         model = spec["model"]
         self.vocab = model["vocab"]
         self.merges = Merges(self.vocab, model["merges"], model["end_of_word_suffix"] or "")
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.plain = spec.get("decoder") is None
-        self.split = splitter()
+        self.split = UNSPACED
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda t: [t]
         self.transducer = Transducer(self.merges)
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
         self.old: dict[str, tuple[int, bytes, bytes]] = {}
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
 
+    def stream(self, symbols: str):
+        """Lists of the ids of one word, given as byte letters; a list comes out as soon as it is stable."""
+        for k in range(0, len(symbols) - 1, STEP):
+            yield [self.vocab[t] for t in self.transducer.feed(symbols[k : min(k + STEP, len(symbols) - 1)])]
+        yield [self.vocab[t] for t in [*self.transducer.feed([symbols[-1] + self.merges.suffix]), *self.transducer.end()]]
+
     def part(self, part: str) -> list[int]:
-        """Ids of one part of the split, symbol by symbol."""
-        data, out = part.encode("utf-8"), []
-        for k in range(0, len(data) - 1, 1 << 16):
-            out += self.transducer.feed(LETTERS[b] for b in data[k : min(k + (1 << 16), len(data) - 1)])
-        out += self.transducer.feed([LETTERS[data[-1]] + self.merges.suffix])
-        out += self.transducer.end()
-        return [self.vocab[t] for t in out]
-
-    def lower(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # by characters: no final sigma
+        """Ids of one part of a plain text's split."""
+        return [i for ids in self.stream("".join([LETTERS[b] for b in part.encode("utf-8")])) for i in ids]
 
     def ids(self, text: str) -> list[int]:
-        out = []
-        for part in self.specials(text):
-            out += [self.added[part]] if part in self.added else [i for x in self.split(self.lower(part)) for i in self.part(x)]
-        return out
+        return [i for ids in self.lists(text) for i in ids]
+
+    def lists(self, text: str):
+        """Lists of the ids of any text, one after another. The library's own normalizer and split, which know its edition of Unicode, cut the words."""
+        for stretch in blocks(text, space=r"[\t-\r ]"):
+            for part in self.specials(stretch):
+                if part in self.added:
+                    yield [self.added[part]]
+                elif part:
+                    for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                        yield from self.stream(word)
 
     def coded(self, ids: list[int]) -> tuple[int, bytes, bytes]:
         """Number of ids, the ids in decimal, and their tokens decoded."""
@@ -270,9 +265,15 @@ class WordBPE:
         """Number of ids, SHA-256 of the ids in decimal joined by blanks, and of the decoded text."""
         ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
         if "<|" in text or not PLAIN.fullmatch(text) or not self.plain:
-            found = [[self.coded(self.ids(text))]]
-        else:
-            found = map(self.words, blocks(text) if len(text) > BLOCK else [text])
+            decoder = Decoder(self.names, self.plain)
+            for part in self.lists(text):
+                if part:
+                    ids.update(b" " * bool(n) + " ".join(map(str, part)).encode())
+                    decoded.update(decoder.feed(part).encode())
+                    n += len(part)
+            decoded.update(decoder.end().encode())
+            return n, ids.hexdigest(), decoded.hexdigest()
+        found = map(self.words, blocks(text) if len(text) > BLOCK else [text])
         for part in found:
             part = [x for x in part if x[0]]
             if part:

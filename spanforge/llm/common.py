@@ -5,8 +5,8 @@ Conventions of this subpackage, unless an operator says otherwise:
 - an operator reads `doc_id` and `text` only, so extra columns of any name are
   ignored; a null text counts as an empty one;
 - a null doc_id sorts before all others and comes back as null;
-- rows that repeat a doc_id count as copies of one identity: they stay separate
-  rows, and comparisons by "smaller doc_id" do not hold between them.
+- rows that repeat a doc_id are documents of their own, and none of them has a
+  smaller doc_id than another.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir). Only where none is named, as in tests, a local one is set."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir). Only where none is named and Spark runs in one process, as in tests, a local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"spanforge-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/spanforge/{uuid.uuid4().hex}"
@@ -93,18 +95,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def identified(docs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame | None]:
+def ids_repeat(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def identified(docs: DataFrame, *more: str, lead: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """doc_id, text and the columns in more, each row with an id of its own, and what brings the ids back: (doc_id, own), or None where they are the table's.
 
-    Only where ids repeat are rows numbered, in order of (doc_id, hash of the text).
+    Only where ids repeat are rows numbered, in order of (doc_id, hash of the
+    text); with lead, those rows then have a column `lead`, the table's id, in
+    whose order they stand.
     """
     rows = no_text_is_empty(docs, *more)
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not ids_repeat(rows):
         return rows, None
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered = written(ordered.select(F.col("doc_id").alias("own"), F.monotonically_increasing_id().alias("doc_id"), "text", *more))
-    return ordered.drop("own"), ordered.select("doc_id", "own")
+    return ordered.withColumnRenamed("own", "lead") if lead else ordered.drop("own"), ordered.select("doc_id", "own")
 
 
 def own_ids(out: DataFrame, back: DataFrame | None, *columns: str) -> DataFrame:

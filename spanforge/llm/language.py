@@ -14,6 +14,8 @@ from .common import no_text_is_empty, null_id
 BUCKETS, MOST = 1 << 15, 3
 #: Documents of each language, those of least hash of the id, that the weights are fitted on.
 PER_LANGUAGE = 800
+#: Parts that a language is dealt into when its sample is taken.
+SALTS = 16
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.05, 0.01
 #: Characters of a text hashed at once.
 BLOCK = 1 << 20
@@ -108,7 +110,9 @@ def fit(rows: DataFrame, buckets: int = BUCKETS, per_language: int = PER_LANGUAG
     """
     names = [r["lang"] for r in rows.select("lang").distinct().collect()]
     sample = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
+    # salted first, so that a language's last choice is among SALTS times per_language rows, whatever its share
+    for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
+        sample = sample.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= per_language).drop("k")
     chosen = F.broadcast(sample.select("doc_id", "lang", "h").distinct())  # per_language of each at most
 
     def frequencies(batches):

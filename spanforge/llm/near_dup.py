@@ -354,7 +354,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
 
 def first_of_each(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """One row of each component that jaccard_join finds, the first by (doc_id, hash of the text), with all columns of docs. It is chosen by row, so rows that share a doc_id or have none are told apart."""
-    rows, _ = identified(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), "_row")
+    rows, _ = identified(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), "_row")
     gone = joined(rows.select("doc_id", "text"), n, similarity).where("doc_id <> component_id").select("doc_id")
     return rows.join(gone, "doc_id", "left_anti").select("_row.*")
 

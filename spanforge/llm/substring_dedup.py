@@ -52,11 +52,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     A word goes when a window that covers it also starts in a document with a
     smaller doc_id; windows are judged on the input. Documents with fewer words
     than a window lose nothing; null and empty texts have no words. Rows that
-    repeat a doc_id are documents of their own, in order of a hash of their
-    text; null ids come first. An empty table gives no rows.
+    repeat a doc_id are documents of their own, and lose nothing to each other;
+    null ids come first. An empty table gives no rows. carry may not hold `lead`.
     """
-    rows, back = identified(docs, *carry)
-    ranges = repeated(rows.select("doc_id", "text"), text_codes, cover_anchors(window, period), window, within=False, steps=False)
+    rows, back = identified(docs, *carry, lead=True)
+    ranges = repeated(rows.drop(*carry), text_codes, cover_anchors(window, period), window, within=False, steps=False)
 
     def remove(batches):
         for b in batches:
@@ -71,5 +71,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept binary")
     schema = StructType([*schema.fields, *(rows.schema[c] for c in carry)])
-    out = rows.join(ranges, "doc_id", "left").mapInArrow(remove, schema)
+    out = rows.drop("lead").join(ranges, "doc_id", "left").mapInArrow(remove, schema)
     return own_ids(out, back, "doc_id")

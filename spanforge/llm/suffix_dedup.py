@@ -47,8 +47,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataF
     A byte goes when a string of `window` bytes that covers it also starts
     earlier: in a document with a smaller doc_id, or in the same one before.
     Strings are judged on the input and never cross documents. A null text is
-    empty. Rows that repeat a doc_id are documents of their own, in order of a
-    hash of their text; null ids come first. An empty table gives no rows.
+    empty. Rows that repeat a doc_id are documents of their own, of which none is
+    earlier than another; null ids come first. An empty table gives no rows.
 
     Ranks are 64-bit hashes, which need no renumbering (128 bits in the last
     round). Doubling starts at runs of `run` bytes, at one position per window's
@@ -56,7 +56,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataF
     on to their whole context, to steps of nearly `window` bytes and at last to
     single strings of `window` bytes.
     """
-    rows, back = identified(docs)
+    rows, back = identified(docs, lead=True)
     ranges = repeated(rows, text_codes, least_anchors(window, run), window, within=True, steps=True)
 
     def remove(batches):
@@ -71,5 +71,5 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataF
                 kept.append(data[~mask].tobytes())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = rows.join(ranges, "doc_id", "left").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = rows.select("doc_id", "text").join(ranges, "doc_id", "left").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return own_ids(out, back, "doc_id")

@@ -11,7 +11,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_text_is_empty, null_id, scratch, written
+from .common import ids_repeat, no_text_is_empty, null_id, scratch, written
 from .tokens import encoder
 
 #: Ids in a sequence.
@@ -114,12 +114,15 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END, sequen
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = no_text_is_empty(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = no_text_is_empty(docs)
+    # a repeated id, or none, may hold most rows: then these are dealt by their texts too
+    deal = ["doc_id", *([F.xxhash64("text")] if ids_repeat(rows) else [])]
+    rows = rows.repartitionByRange(parts, *deal).sortWithinPartitions("doc_id", F.xxhash64("text"))
     index = written(rows.mapInArrow(write, "doc_id long, file string, at long, n_tokens long"))
     # one row per file, of which there is one per task
-    files = index.groupBy("file").agg(F.min("doc_id").alias("first"), F.sum("n_tokens").alias("n")).collect()
+    files = index.groupBy("file").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("n_tokens").alias("n")).collect()
     base, total = [], 0
-    for f in sorted(files, key=lambda f: f["first"]):
+    for f in sorted(files, key=lambda f: (f["first"], f["last"], f["file"])):
         base.append((f["file"], total))
         total += f["n"]
     bases = spark.createDataFrame(base, "file string, base long")
@@ -146,7 +149,7 @@ def token_files(docs: DataFrame, path: str, end: int = END, sequence: int = SEQU
     """Writes docs as token files in the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32.
 
     A null or empty text is the end id alone. Rows that repeat a doc_id stand
-    side by side, ordered by a hash of their text. An empty table gives no files
+    side by side, in no order that a file's border would keep. An empty table gives no files
     and no rows.
     """
     out = read_tokens(write_tokens(docs, path, scratch(docs.sparkSession), end, sequence))

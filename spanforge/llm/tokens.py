@@ -30,13 +30,15 @@ SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|
 UNSPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+").findall
 #: Encodings kept in each of two generations; the older one goes when the newer one is full.
 CACHED = 500_000
+#: Characters of a part that is kept; so caches are bounded in bytes too.
+LONGEST = 64
 #: Characters of a text handled at once.
 BLOCK = 1 << 20
 
 
-def blocks(text: str, size: int = BLOCK):
+def blocks(text: str, size: int = BLOCK, space: str = r"\s"):
     """Parts of a text, each cut where white space begins; without white space there is one part."""
-    at, cut = 0, re.compile(r"(?<=\S)\s")
+    at, cut = 0, re.compile(rf"(?<!{space}){space}")
     while at < len(text):
         m = cut.search(text, at + size)
         end = m.start() if m else len(text)
@@ -81,9 +83,10 @@ class Encoder:
             ids = self.known.get(piece)
             if ids is None:
                 ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(piece.translate(LETTERS))])
-                if len(self.known) > CACHED:
-                    self.known.clear()
-                self.known[piece] = ids
+                if len(piece) <= LONGEST:
+                    if len(self.known) > CACHED:
+                        self.known.clear()
+                    self.known[piece] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -97,7 +100,8 @@ class Encoder:
                 if x is None:
                     p = parts[i]
                     found[i] = self.cache.get(p) or self.old.get(p) or self.part(p)
-                    self.cache[p] = found[i]
+                    if len(p) <= LONGEST:
+                        self.cache[p] = found[i]
         return b"".join(found)
 
     def ids(self, text: str) -> bytes:

@@ -52,3 +52,24 @@ def test_empty(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_exact_dedup_by_row(spark, tmp_path):
+    """Of equal rows one stays; columns whose names the stages use themselves do no harm."""
+    rows = [(5, "a b"), (5, "a  b"), (5, "a b"), (7, "a b"), (8, "c"), (None, "c"), (None, None), (None, "")]
+    docs = documents(spark, rows).selectExpr("*", "1 AS _row", "2 AS _dropped", "3 AS lead", "4 AS `x.y`")
+    out = corpus_pipeline.exact(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").split()) for r in out.collect())
+    assert got == [(0, []), (5, ["a", "b"]), (8, ["c"])]
+
+
+def test_run_with_repeated_ids(spark, tmp_path):
+    """The whole run: of copies and near copies one row stays, unrelated rows that share an id or have none stay too."""
+    texts = [" ".join(f"{c}{i}" for i in range(120)) for c in "abcd"]
+    rows = [(2, texts[0]), (2, texts[0]), (4, texts[0].upper()), (4, texts[1]), (4, texts[1] + " tail"), (None, texts[2]), (None, texts[3]), (9, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count()
+    got = sorted((r["doc_id"] or 0) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect())
+    assert kept == 7 and got == [0, 0, 2, 4]

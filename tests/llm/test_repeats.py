@@ -102,3 +102,15 @@ def test_difference_cover(period):
     cover = difference_cover(period)
     assert {(a - b) % period for a in cover for b in cover} == set(range(period))
     assert len(cover) <= 2.3 * period**0.5 + 1
+
+
+def test_rows_of_one_id(spark):
+    """None of them has a smaller doc_id than another; a document's own earlier places count for bytes."""
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "wv")
+    words = lambda rows: sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup(documents(spark, rows).repartition(3)).collect())
+    assert words([(5, one), (5, one), (6, two)]) == [(5, 0), (5, 0), (6, 0)]
+    assert words([(5, one), (5, f"x {one}"), (7, f"{two} {one}"), (7, f"{one} y")]) == [(5, 0), (5, 0), (7, 80), (7, 80)]
+    got = lambda rows: sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup(documents(spark, rows).repartition(3)).collect())
+    n = len(one)
+    assert got([(5, one), (5, one), (6, two)]) == [(5, 0), (5, 0), (6, 0)]
+    assert got([(5, one), (5, one + one), (9, one)]) == [(5, 0), (5, n), (9, n)]

@@ -147,3 +147,32 @@ def test_file_random_access(tmp_path):
     w.add(np.arange(3))
     w.close()
     assert token_files.Reader(f"{tmp_path}/b.arrow").sequence(0)[1].tolist() == [True] * 3 + [False] * 5
+
+
+def test_letters_of_the_library_edition(spark):
+    """Letters and cases that Python's own tables may lack, marks, Hangul and special tokens."""
+    lib, own = Tokenizer.from_file(public("word_bpe_49k.json")), bpe.WordBPE(public("word_bpe_49k.json"))
+    for first, last in ((0x1C80, 0x1C90), (0xA7C0, 0xA7F8), (0x105C0, 0x105F8), (0x10D40, 0x10D90), (0x300, 0x340), (0x1100, 0x1110), (0x1F000, 0x1F010), (0x2000, 0x2010)):
+        for c in map(chr, range(first, last)):
+            text = f"a{c}b{c}{c} {c} <|endoftext|>{c}Σ"
+            assert own.ids(text) == lib.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_long_texts_leave_in_parts(spark):
+    """A long text that is not plain: ids come in lists far shorter than the text, and the transducer keeps no more than its lookahead asks for."""
+    own = bpe.WordBPE(public("word_bpe_49k.json"))
+    text = "中文 word " * 300_000 + "é́x" * 20_000
+    most = held = n = 0
+    for ids in own.lists(text):
+        most, held, n = max(most, len(ids)), max(held, len(own.transducer.text)), n + len(ids)
+    assert n > 1_000_000 and most <= bpe.STEP + 4 * own.merges.lookahead and held <= 8 * own.merges.lookahead
+
+
+def test_token_files_of_repeated_and_missing_ids(spark):
+    lib = Tokenizer.from_file(public("byte_bpe_50k.json"))
+    rows = [(None, "x y"), (None, None), (4, "a b c"), (4, "d"), (4, "d"), (9, "")]
+    got = token_files.token_files(documents(spark, rows), public("byte_bpe_50k.json")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 4, 4, 4, 9]
+    sizes = [r["n_tokens"] for r in got]
+    assert [r["start"] for r in got] == [sum(sizes[:i]) for i in range(6)]
+    assert sorted(sizes) == sorted(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
