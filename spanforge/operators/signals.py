@@ -83,7 +83,7 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
 
 
 def permutation_null(series: DataFrame, starts: DataFrame, key: str, thresholds: list[float], gap: float, reach: float, trials: int, seed: int) -> DataFrame:
-    """least, trial, precision, recall: the grouped spikes of series (key, t, z) against starts (key, t0) within reach, as trial -1,
+    """least, trial, near, spikes, found, starts, precision, recall: the grouped spikes of series (key, t, z) against starts (key, t0) within reach, as trial -1,
     and as many times of each key, drawn seeded without replacement, as trials from 0 on. Precision is 0 where nothing spikes, recall where nothing starts.
 
     One key's times and starts are held at a time, and CHUNK trials of them.
@@ -124,4 +124,4 @@ def permutation_null(series: DataFrame, starts: DataFrame, key: str, thresholds:
     rows = series.groupBy(key).cogroup(starts.groupBy(key)).applyInPandas(run, "least double, trial long, near long, spikes long, found long, starts long")
     sums = rows.groupBy("least", "trial").agg(*(F.sum(c).alias(c) for c in ("near", "spikes", "found", "starts")))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return sums.select("least", "trial", share("near", "spikes").alias("precision"), share("found", "starts").alias("recall"))
+    return sums.select("*", share("near", "spikes").alias("precision"), share("found", "starts").alias("recall"))

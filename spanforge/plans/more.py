@@ -308,8 +308,10 @@ def permutation_null(spark, d):
     w = Window.partitionBy("least")
     real = {c: F.max(F.when(~draw, F.col(c))).over(w).alias(f"real_{c}") for c in ("precision", "recall")}
     out = shares.select("*", *real.values()).where(draw).groupBy("least")
-    p = lambda c: F.avg((F.col(c) >= F.col(f"real_{c}")).cast("double"))
-    out = out.agg(F.first("real_precision").alias("real"), F.avg("precision").alias("null_mean"), p("precision").alias("p"), F.first("real_recall").alias("real_recall"), F.avg("recall").alias("null_recall"), p("recall").alias("p_recall"))
+    p = lambda c: F.count_if(F.col(c) >= F.col(f"real_{c}")) / F.count("*")
+    # every trial has as many spikes and starts, so the mean of the shares is a share of sums, which no order of rows changes
+    whole = lambda a, b: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0))
+    out = out.agg(F.first("real_precision").alias("real"), whole("near", "spikes").alias("null_mean"), p("precision").alias("p"), F.first("real_recall").alias("real_recall"), whole("found", "starts").alias("null_recall"), p("recall").alias("p_recall"))
     return out.orderBy("least")
 
 
