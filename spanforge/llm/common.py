@@ -51,12 +51,12 @@ def written(df: DataFrame, large: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """df, dealt by key and written to the shared folder as a table that joins on key read without a shuffle of it."""
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df, dealt by key and written to the shared folder as a table that joins on key read without a shuffle of it, and the table's name, to be dropped."""
     n, name = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"spanforge_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", scratch(df.sparkSession)).bucketBy(n, key).saveAsTable(name)
     release(df.sparkSession)
-    return df.sparkSession.table(name)
+    return df.sparkSession.table(name), name
 
 
 def no_text_is_empty(docs: DataFrame, *more: str) -> DataFrame:

@@ -375,7 +375,7 @@ def joined(rows: DataFrame, n: int, similarity: int) -> DataFrame:
     groups = written(groups.join(per_group.join(in_tokens, "group_id", "left").where("shared = 1 OR sets > 1").drop("shared"), "group_id"))
     # dealt by id before the join, so that the rounds can join the table without moving texts
     by_id = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    sets = bucketed(described(by_id.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), n), "rep")
+    sets, name = bucketed(described(by_id.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), n), "rep")
 
     parts = groups.where("rep = first").select("group_id", "sets", "rep", F.col("rep").alias("label"))
     inside = groups.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
@@ -404,5 +404,6 @@ def joined(rows: DataFrame, n: int, similarity: int) -> DataFrame:
 
     label = components(links).withColumnRenamed("node", "rep")
     classes = written(classes.join(label, "rep", "left").select("set", "members", F.coalesce("component", "rep").alias("component_id")))
+    rows.sparkSession.sql(f"DROP TABLE {name}")
     out = join_classes(found.where("n > 0"), classes, "set", "members", found.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -106,10 +106,10 @@ def earlier(new: np.ndarray, lead: np.ndarray, doc: np.ndarray, within: bool, *k
 def grouped(fold: Fold, within: bool, led: bool = False) -> pa.RecordBatch:
     """Rows (key, ctx, doc_id, p, n, lead) with equal ones folded, as key, ctx, doc_id, pn and, if led, lead."""
     key, ctx, doc, p, n, lead = fold.take()
-    order = np.lexsort((p, doc, lead, ctx, key))
+    order = np.lexsort((p, doc, lead, ctx, key) if led else (p, doc, ctx, key))
     key, ctx, doc, p, n, lead = (x[order] for x in (key, ctx, doc, p, n, lead))
     new_key, new_ctx = first_of(key), first_of(key, ctx)
-    again = earlier(new_ctx, lead, doc, within, key, ctx)
+    again = ~new_ctx if within and not led else earlier(new_ctx, lead, doc, within, key, ctx)
     starts = np.flatnonzero(new_key)
     heavy = np.repeat(np.add.reduceat(new_ctx, starts) > HEAVY, np.diff(np.r_[starts, len(key)]))
     kind = np.where(again, REPEATED, np.where(heavy, SHARED, PLAIN))
@@ -212,7 +212,7 @@ def window_rows(docs: DataFrame, codes_of, window: int, within: bool) -> DataFra
 
     def batch(fold):
         key, key2, doc, p, lead = fold.take()
-        order = np.lexsort((p, doc, lead, key2, key))
+        order = np.lexsort((p, doc, lead, key2, key) if led else (p, doc, key2, key))
         key, key2, doc, p, lead = (x[order] for x in (key, key2, doc, p, lead))
         again = earlier(first_of(key, key2), lead, doc, within, key, key2)
         key = np.where(again, key + doc.view(np.uint64) * np.uint64(BASES[1]), key)

@@ -114,3 +114,10 @@ def test_rows_of_one_id(spark):
     n = len(one)
     assert got([(5, one), (5, one), (6, two)]) == [(5, 0), (5, 0), (6, 0)]
     assert got([(5, one), (5, one + one), (9, one)]) == [(5, 0), (5, n), (9, n)]
+
+
+def test_prefix_doubling(spark):
+    """Every position ranked by pairs at growing offsets: the same rows as brute force."""
+    texts = prose(5, 30)
+    got = sorted(map(tuple, suffix_dedup(documents(spark, texts).repartition(3), 40, 12, method="doubling").collect()))
+    assert [(*r[:4], bytes(r[4])) for r in got] == plain_bytes(list(enumerate(texts)), 40)
