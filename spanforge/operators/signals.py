@@ -47,17 +47,19 @@ def latency_profile(df: DataFrame, keys: list[str], ms: str) -> DataFrame:
 
 
 def hash_split(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:
-    """df with part dev or train, by a hash of the key; each label has its least hash in dev, and one that is all dev has its rows in train too.
+    """df with part dev or train: of each label the share of least hash of the key, and at least one row, is dev; a label that is all dev has its rows in train too.
 
-    No row is sorted: the label's least hash and whether it has train rows are aggregates.
+    Hashes fall into 65,536 bins; counts of bins tell how many rows of a label
+    lie before one, so that only rows of the same label and bin are sorted together.
     """
     h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), 1, 8), 16, 10).cast("long")
-    rows = df.withColumn("_h", h)
-    low = F.col("_h") % 10_000 < int(10_000 * share)
-    per = rows.groupBy(label).agg(F.min(F.struct("_h", key)).alias("_least"), F.count("*").alias("_n"), F.count_if(low).alias("_low"), F.min_by(low, F.struct("_h", key)).alias("_has"))
-    rows = rows.join(per, label).withColumn("_dev", low | (F.struct("_h", key) == F.col("_least")))
-    bare = F.col("_n") == F.col("_low") + F.when(F.col("_has"), 0).otherwise(1)
-    part = F.when(F.col("_dev") & bare, F.array(F.lit("dev"), F.lit("train"))).when(F.col("_dev"), F.array(F.lit("dev"))).otherwise(F.array(F.lit("train")))
+    rows = df.withColumn("_h", h).withColumn("_bin", F.shiftright("_h", 16))
+    of_label = Window.partitionBy(label)
+    before = F.sum("_n").over(of_label.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = rows.groupBy(label, "_bin").agg(F.count("*").alias("_n")).select(label, "_bin", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(of_label).alias("_all"))
+    rows = rows.join(bins, [label, "_bin"]).withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy(label, "_bin").orderBy("_h", key)))
+    cut = F.greatest(F.lit(1), F.floor(F.col("_all") * share))
+    part = F.when(F.col("_k") > cut, F.array(F.lit("train"))).when(F.col("_all") == cut, F.array(F.lit("dev"), F.lit("train"))).otherwise(F.array(F.lit("dev")))
     return rows.select(*df.columns, F.explode(part).alias("part"))
 
 

@@ -372,11 +372,10 @@ def dedupe_last(spark, d):
 
 
 @query("""WITH h AS (SELECT event_id, event_type, ('0x' || substr(md5(CAST(event_id AS VARCHAR) || '/11'), 1, 8))::BIGINT AS h FROM events),
-k AS (SELECT *, h % 10000 < 2000 OR (h, event_id) = (min(h) OVER w, first_value(event_id) OVER (PARTITION BY event_type ORDER BY h, event_id)) AS dev FROM h WINDOW w AS (PARTITION BY event_type)),
-a AS (SELECT event_type, bool_and(dev) AS bare FROM k GROUP BY 1)
-SELECT event_id, event_type, CASE WHEN dev THEN 'dev' ELSE 'train' END AS part FROM k UNION ALL SELECT event_id, k.event_type, 'train' FROM k JOIN a ON a.event_type = k.event_type WHERE bare""")
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY h, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM h), c AS (SELECT *, greatest(1, floor(n * 0.2::DOUBLE)) AS cut FROM k)
+SELECT event_id, event_type, CASE WHEN k <= cut THEN 'dev' ELSE 'train' END AS part FROM c UNION ALL SELECT event_id, event_type, 'train' FROM c WHERE n = cut""")
 def hash_split(spark, d):
-    """A repeatable split of each class into train and dev: a fifth by hash and at least one go to dev; a class that is all dev trains on that."""
+    """A repeatable split of each class into train and dev: the fifth of least hash, and at least one, to dev; a class that is all dev trains on that."""
     return G.hash_split(B.table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type", 0.2, 11)
 
 
