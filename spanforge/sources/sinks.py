@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,20 @@ def write_submission(predictions: DataFrame, path: str, submission_id: str, mode
     out.orderBy("manifest_ord").select("value").write.mode("overwrite").text(path)
 
 
+def write_payload(entries: DataFrame, path: str, schema_version: str, submission_id: str, model_name: str, hardware: str = "unspecified", total_wall_time_ms: float = 0.0) -> None:
+    """The submission as one JSON document, in one file of the folder, from submission_entries(): a line for the head, one per video in the manifest's order, one for the end.
+
+    One task writes it, line by line, so its size is no matter of memory.
+    """
+    run = {"total_wall_time_ms": total_wall_time_ms, "max_parallel_videos": 1, "hardware": hardware}
+    head = json.dumps({"schema_version": schema_version, "submission_id": submission_id, "model_name": model_name, "run_metadata": run, "predictions": []})
+    spark = entries.sparkSession
+    ends = spark.createDataFrame([(0, None, head[:-2]), (2, None, "]}")], "part int, manifest_ord long, line string")
+    first = entries.agg(F.min("manifest_ord").alias("first"))
+    body = entries.join(F.broadcast(first)).select(F.lit(1).alias("part"), F.col("manifest_ord").cast("long").alias("manifest_ord"), F.concat(F.when(F.col("manifest_ord") == F.col("first"), "").otherwise(","), "entry").alias("line"))
+    body.unionByName(ends).coalesce(1).sortWithinPartitions("part", "manifest_ord").select("line").write.mode("overwrite").text(path)
+
+
 def refuse(violations: DataFrame, shown: int = 20) -> None:
     """Raises with the first problems if there are any."""
     found = violations.orderBy("problem", "video_id", "ord").limit(shown).collect()

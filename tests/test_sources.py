@@ -99,3 +99,27 @@ def test_stream(spark, tmp_path):
     assert got.count() and got.select("w0", "k", "calls").exceptAll(batch).count() == 0
     events = spark.createDataFrame([(1.0, None), (2.0, 9.0)], "t1 double, window_end double")
     assert monitor.due(monitor.alerts(events, 500.0), 2.0).count() == 1
+
+
+def test_payload_is_one_document(spark, tmp_path):
+    """Null times are written, empty explanations are not; videos without events have an empty list and the default runtime."""
+    from spanforge.operators import documents
+
+    rows = spark.createDataFrame([("B", 1, "fire", 1.5, 2.0, 'a "quoted" one'), ("B", 0, "smoke", None, None, ""), ("X", 0, "fire", 1.0, 2.0, None)], "video_id string, ord int, class_name string, t0 double, t1 double, explanation string")
+    manifest = spark.createDataFrame([("B", 1), ("A", 0), ("C", 2)], "video_id string, manifest_ord int")
+    sinks.write_payload(documents.submission_entries(rows, manifest), str(tmp_path / "out"), "1.0", "s1", "m1")
+    [part] = (tmp_path / "out").glob("part-*")
+    doc = json.loads(part.read_text())
+    assert doc["run_metadata"] == {"total_wall_time_ms": 0.0, "max_parallel_videos": 1, "hardware": "unspecified"}
+    assert [(p["video_id"], p["runtime_metadata"]["chunks_processed"]) for p in doc["predictions"]] == [("A", 1), ("B", 1), ("C", 1)]
+    assert doc["predictions"][1]["events"] == [{"class_name": "smoke", "start_time_sec": None, "end_time_sec": None}, {"class_name": "fire", "start_time_sec": 1.5, "end_time_sec": 2.0, "explanation": 'a "quoted" one'}]
+    assert [(r["video_id"], r["class_name"]) for r in files.submission(spark, str(part)).collect()] == [("B", "smoke"), ("B", "fire")]
+
+
+def test_last_path_counts(spark, tmp_path):
+    for name, kind in (("z", "fire"), ("a", "smoke")):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"video_id": "A", "events": [{"class_name": kind, "start": 1, "end": 2}]}))
+    got, _ = files.json_lines(spark, [str(tmp_path / "z.jsonl"), str(tmp_path / "a.jsonl")], files.EVENTS)
+    assert [r["class_name"] for r in files.exploded(got).collect()] == ["smoke"]
+    got, _ = files.json_lines(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "z.jsonl")], files.EVENTS)
+    assert [r["class_name"] for r in files.exploded(got).collect()] == ["fire"]
