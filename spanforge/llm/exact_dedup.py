@@ -47,10 +47,10 @@ def first_rows(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame:
 def grouped(rows: DataFrame, digest, salts: int) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of rows whose doc_id are different; lead, where rows have it, tells those without an id in the table."""
     known = F.col("lead" if "lead" in rows.columns else "doc_id") != NULL_ID
-    rows = rows.select("doc_id", F.struct((~known).alias("unknown"), "doc_id").alias("place"), normalised(F.col("text")).alias("norm"))
-    rows = rows.select("doc_id", "place", "norm", digest(F.col("norm")).alias("digest"))
-    salted = rows.groupBy("digest", "norm", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.min("place").alias("place"), F.count("*").alias("group_size"))
-    classes = salted.groupBy("digest", "norm").agg(F.min("place")["doc_id"].alias("keep_id"), F.sum("group_size").alias("group_size"))
+    rows = rows.select("doc_id", F.when(known, F.col("doc_id")).alias("known"), normalised(F.col("text")).alias("norm"))
+    rows = rows.select("doc_id", "known", "norm", digest(F.col("norm")).alias("digest"))
+    salted = rows.groupBy("digest", "norm", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.min("known").alias("known"), F.min("doc_id").alias("least"), F.count("*").alias("group_size"))
+    classes = salted.groupBy("digest", "norm").agg(F.coalesce(F.min("known"), F.min("least")).alias("keep_id"), F.sum("group_size").alias("group_size"))
     lean = written(classes.select("digest", "keep_id", "group_size"))
     key, members = "digest", rows.select("doc_id", "digest")
     if not lean.groupBy("digest").count().where("count > 1").isEmpty():
