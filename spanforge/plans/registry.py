@@ -91,7 +91,7 @@ FROM g JOIN p ON g.video_id = p.video_id AND g.t0 < p.t1 AND p.t0 < g.t1""")
 def binned_interval_join(spark, d):
     a = B.truth(spark, d).select("video_id", F.col("event_id").alias("g_id"), F.col("t0").alias("a0"), F.col("t1").alias("a1"))
     b = B.predictions(spark, d).select("video_id", F.col("event_id").alias("p_id"), F.col("t0").alias("b0"), F.col("t1").alias("b1"))
-    return M.interval_join(a, b, ["video_id"], 48.0).select("video_id", "g_id", "p_id", S.overlap("a0", "a1", "b0", "b1").alias("seconds"))
+    return M.interval_join(a, b, ["video_id"], 48.0).select("video_id", "g_id", "p_id", (F.least("a1", "b1") - F.greatest("a0", "b0")).alias("seconds"))
 
 
 @query(f"WITH {SPANS}, {merged_sql('m', 'true', 6)} SELECT video_id, class_name, t0, t1, confidence, n FROM m")

@@ -69,3 +69,15 @@ def test_hash_split(spark):
     got = registry.queries()["hash_split"](spark, SF).toPandas()
     share = got.groupby("event_type")["part"].apply(lambda p: (p == "dev").mean())
     assert ((share > 0.15) & (share <= 0.2)).all()
+
+
+def test_empty_spans_in_others_meet(spark, tmp_path):
+    """An empty event meets an event around it and not one that it only touches, as in SQL."""
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT id::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_hours(hour) AS ts, 1::BIGINT AS user_id, 'view' AS event_type, value::DOUBLE AS value, '{"k": 50}' AS props
+ FROM (VALUES (0, 10, 60), (1, 20, 0), (2, 47, 0), (3, 40, 20), (5, 10, 0), (7, 70, 0), (9, 48, 2), (4, 48, 0), (11, 48, 0)) t(id, hour, value)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    name = "binned_interval_join"
+    got, want = registry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()[name]).df()
+    assert rows(got) == rows(want)
+    assert {(r.g_id, r.p_id) for r in got.itertuples()} == {(0, 1), (0, 3), (2, 3), (0, 9), (0, 11), (4, 3)}
