@@ -1,14 +1,18 @@
-"""Parameter sweeps: every configuration of a grid over one scan of the predictions."""
+"""Parameter sweeps: every configuration of a grid over one scan of truth and predictions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import islands, matching
-
 #: The grid, fixed values.
 MIN_CONF, GAPS, MIN_DUR = (0.0, 0.25, 0.35, 0.5, 0.65, 0.8), (0.0, 3.0, 6.0, 12.0), (0.0, 1.0, 3.0)
+#: Rows worked on at once, and pairs of a truth and a prediction scored at once.
+ROWS, PAIRS = 1 << 18, 1 << 21
+#: Rounds in which best pairs are taken all at once; the rest is taken one by one.
+ROUNDS = 20
 
 
 def grid(spark, confs=MIN_CONF, gaps=GAPS, durs=MIN_DUR) -> DataFrame:
@@ -17,20 +21,151 @@ def grid(spark, confs=MIN_CONF, gaps=GAPS, durs=MIN_DUR) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "grid_ord int, min_conf double, gap_tol double, min_dur double")
 
 
+def reach(group: np.ndarray, t1: np.ndarray) -> np.ndarray:
+    """The furthest end of the rows before, in the same group; -inf for its first. Exact: ends are compared by rank."""
+    ends, rank = np.unique(t1, return_inverse=True)
+    far = np.maximum.accumulate(group * np.int64(len(ends)) + rank)
+    out = np.full(len(t1), -np.inf)
+    same = group[1:] == group[:-1]
+    out[1:][same] = ends[far[:-1][same] % len(ends)]
+    return out
+
+
+def pairs(gg, g0, g1, pg, p0, p1, threshold: float):
+    """Truths and predictions of one group with an iou of the threshold, and that iou; the predictions of a group share no time and stand in order."""
+    if threshold > 0:
+        times, rank = np.unique(np.concatenate([g0, g1, p0]), return_inverse=True)
+        wide, n = np.int64(len(times) + 1), len(g0)
+        # the first prediction that ends after the truth starts, and the first that starts no earlier than the truth ends
+        low = np.searchsorted(pg * wide + np.searchsorted(times, p1), gg * wide + rank[:n], "right")
+        high = np.searchsorted(pg * wide + rank[2 * n :], gg * wide + rank[n : 2 * n], "left")
+    else:
+        low, high = np.searchsorted(pg, gg, "left"), np.searchsorted(pg, gg, "right")
+    count = np.maximum(high - low, 0)
+    ends, found, at = np.cumsum(count), [], 0
+    while at < len(count):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        g = np.repeat(np.arange(at, to), count[at:to])
+        p = np.arange(len(g)) - np.repeat(ends[at:to] - count[at:to] - done, count[at:to]) + low[g]
+        both = np.minimum(g1[g], p1[p]) - np.maximum(g0[g], p0[p])
+        joint = (g1[g] - g0[g]) + (p1[p] - p0[p]) - both
+        with np.errstate(divide="ignore", invalid="ignore"):
+            iou = np.where((both <= 0) | (joint <= 0), 0.0, both / joint)
+        ok = iou >= threshold
+        found.append((g[ok], p[ok], iou[ok]))
+        at = to
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+
+
+def taken(g: np.ndarray, p: np.ndarray, n_truth: int, n_pred: int) -> int:
+    """Number of pairs that the greedy order takes: each, in the order given, if both its sides are free.
+
+    A pair that comes first for both of its sides is taken whatever happens
+    elsewhere; so all such are taken at once, and what they bar goes.
+    """
+    out = 0
+    for _ in range(ROUNDS):
+        if not len(g):
+            return out
+        at = np.arange(len(g))
+        first_g, first_p = np.full(n_truth, -1), np.full(n_pred, -1)
+        first_g[g[::-1]], first_p[p[::-1]] = at[::-1], at[::-1]
+        best = (first_g[g] == at) & (first_p[p] == at)
+        out += int(best.sum())
+        used_g, used_p = np.zeros(n_truth, bool), np.zeros(n_pred, bool)
+        used_g[g[best]], used_p[p[best]] = True, True
+        free = ~used_g[g] & ~used_p[p]
+        g, p = g[free], p[free]
+    used_g, used_p = set(), set()
+    for x, y in zip(g.tolist(), p.tolist()):
+        if x not in used_g and y not in used_p:
+            used_g.add(x)
+            used_p.add(y)
+            out += 1
+    return out
+
+
+def islands(batches, widest: float, threshold: float, most: int = ROWS):
+    """Blocks of whole islands from batches of (first of its video and class, truth, t0, t1, confidence), with each row's island.
+
+    Where pairs need no overlap, an island is all of a video and class.
+    """
+    held, n, due = [], 0, most
+
+    def cut(last):
+        rows = [np.concatenate(x) for x in zip(*held)]
+        begins = rows[0] | (rows[2] > reach(np.cumsum(rows[0]), rows[3]) + widest) if threshold > 0 else rows[0].copy()
+        begins[0] = True
+        return rows, np.cumsum(begins), n if last else int(np.flatnonzero(begins)[-1])
+
+    for batch in batches:
+        held.append(batch)
+        n += len(batch[0])
+        if n >= due:
+            rows, group, at = cut(False)
+            if at:
+                yield group[:at], [x[:at] for x in rows]
+            held, n = [[x[at:] for x in rows]], n - at
+            due = max(most, 2 * n)
+    if n:
+        rows, group, _ = cut(True)
+        yield group, rows
+
+
+def counts(group, truth, t0, t1, confidence, configs: list, threshold: float) -> np.ndarray:
+    """tp and number of merged predictions of each configuration, over whole groups in order of start."""
+    out = np.zeros((len(configs), 2), np.int64)
+    gg, g0, g1 = group[truth], t0[truth], t1[truth]
+    for conf in sorted({c[0] for c in configs}):
+        kept = ~truth & (confidence >= conf)
+        pg, a, b = group[kept], t0[kept], t1[kept]
+        if not len(pg):
+            continue
+        far, new = reach(pg, b), np.r_[True, pg[1:] != pg[:-1]]
+        for gap in sorted({c[1] for c in configs if c[0] == conf}):
+            starts = np.flatnonzero(new | (a > far + gap))
+            rg, r0, r1 = pg[starts], a[starts], (np.maximum.reduceat(b, starts) + gap) - gap
+            length = r1 - r0
+            chosen = [(i, c[2]) for i, c in enumerate(configs) if c[:2] == (conf, gap)]
+            long = length >= min(least for _, least in chosen)
+            rg, r0, r1, length = rg[long], r0[long], r1[long], length[long]
+            g, p, iou = pairs(gg, g0, g1, rg, r0, r1, threshold)
+            order = np.lexsort((p, g, -iou))
+            g, p = g[order], p[order]
+            for i, least in chosen:
+                ok = length[p] >= least
+                out[i] += taken(g[ok], p[ok], len(g0), len(r0)), int((length >= least).sum())
+    return out
+
+
 def sweep(truth: DataFrame, pred: DataFrame, configs: DataFrame, threshold: float) -> DataFrame:
-    """grid_ord, tp, fa, miss of each configuration's merged predictions against the truth (video_id, class_name, t0, t1, gi).
+    """grid_ord, tp, fa, miss of each configuration's merged predictions against the truth (video_id, class_name, t0, t1, event_id).
 
-    Predictions are exploded by the configurations (a bounded, broadcast list of
-    the driver's making), merged with the configuration's gap, and matched.
+    Truth and predictions are dealt by video and class once, whatever the number
+    of configurations (a bounded list of the driver's making), and each task
+    merges and matches its rows under one configuration after another. Only
+    counts leave it. What it holds is a block of rows, or the longest island: no
+    later row starts within the greatest gap of an island's end, so neither
+    merging nor matching crosses its border.
     """
-    kept = pred.join(F.broadcast(configs), F.col("confidence") >= F.col("min_conf"))
-    runs = islands.coalesce_spans(kept.withColumn("t1", F.col("t1") + F.col("gap_tol")), ["grid_ord", "gap_tol", "min_dur", "video_id", "class_name"], 0.0, extra={"event_id": F.min("event_id")})
-    runs = runs.withColumn("t1", F.col("t1") - F.col("gap_tol")).where(F.col("t1") - F.col("t0") >= F.col("min_dur"))
-    runs = runs.withColumn("video_id", F.struct("grid_ord", "video_id"))
-    p = matching.indexed(runs, "pi")
-    g = truth.join(F.broadcast(configs.select("grid_ord"))).withColumn("video_id", F.struct("grid_ord", "video_id"))
-    m = matching.greedy_match(matching.candidates(g, p, threshold)).groupBy("video_id.grid_ord").agg(F.count("*").alias("tp"))
-    n = runs.groupBy("video_id.grid_ord").agg(F.count("*").alias("n_pred"))
-    t = truth.agg(F.count("*").alias("n_truth"))
-    out = configs.select("grid_ord").join(m, "grid_ord", "left").join(n, "grid_ord", "left").na.fill(0).join(F.broadcast(t))
+    listed = [(r["min_conf"], r["gap_tol"], r["min_dur"], r["grid_ord"]) for r in configs.collect()]
+    ords, rules = [x[3] for x in listed], [x[:3] for x in listed]
+    widest, lowest = max((x[1] for x in rules), default=0.0), min((x[0] for x in rules), default=0.0)
+
+    def run(batches):
+        total = np.zeros((len(rules), 2), np.int64)
+        for group, rows in islands(([b[c].to_numpy(zero_copy_only=False) for c in ("first", "truth", "t0", "t1", "confidence")] for b in batches), widest, threshold):
+            total += counts(group, *rows[1:], rules, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int32()), pa.array(total[:, 0]), pa.array(total[:, 1])], ["grid_ord", "tp", "n_pred"])
+
+    # what has no start, key or end can't be matched; a prediction without a start or end is no run, and adds nothing to one
+    g = truth.where("video_id IS NOT NULL AND class_name IS NOT NULL AND t0 IS NOT NULL AND t1 IS NOT NULL")
+    p = pred.where("t0 IS NOT NULL AND t1 IS NOT NULL").where(F.col("confidence") >= lowest)
+    columns = ["video_id", "class_name", "event_id", "t0", "t1"]
+    both = g.select(*columns, F.lit(0.0).alias("confidence"), F.lit(True).alias("truth")).unionByName(p.select(*columns, "confidence", F.lit(False).alias("truth")))
+    first = F.row_number().over(Window.partitionBy("video_id", "class_name").orderBy("t0", "event_id")) == 1
+    rows = both.select(first.alias("first"), "truth", "t0", "t1", "confidence")
+    found = rows.mapInArrow(run, "grid_ord int, tp long, n_pred long").groupBy("grid_ord").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"))
+    out = configs.select("grid_ord").join(found, "grid_ord", "left").na.fill(0, ["tp", "n_pred"]).join(F.broadcast(truth.agg(F.count("*").alias("n_truth"))))
     return out.select("grid_ord", "tp", (F.col("n_pred") - F.col("tp")).alias("fa"), (F.col("n_truth") - F.col("tp")).alias("miss"))

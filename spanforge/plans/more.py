@@ -53,9 +53,8 @@ rt AS (SELECT *, {RATES} FROM t), sc AS (SELECT grid_ord, min_conf, gap_tol, min
 
 @query(f"{SWEEP} SELECT * FROM sc")
 def sweep_grid_72(spark, d):
-    truth = M.indexed(B.truth(spark, d), "gi")
     configs = W.grid(spark)
-    t = W.sweep(truth, B.predictions(spark, d), configs, 0.3)
+    t = W.sweep(B.truth(spark, d), B.predictions(spark, d), configs, 0.3)
     return configs.join(t, "grid_ord").withColumn("f1", S.f1("tp", "fa", "miss"))
 
 
