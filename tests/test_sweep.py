@@ -97,3 +97,15 @@ def test_configurations_share_one_shuffle(spark):
     assert W.sweep(truth, pred, W.grid(spark), 0.3).count() == 72
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     assert 0 < written(spark) - before < 800 + 72 * 10
+
+
+def test_best_shuffles_no_more_than_its_events(spark):
+    from spanforge.plans import registry
+
+    from .conftest import SF
+
+    before = written(spark)
+    best = registry.queries()["sweep_best"](spark, SF).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < written(spark) - before < 2 * spark.read.parquet(f"{SF}/events.parquet").count()
+    assert [(-r["f1"], r["grid_ord"]) for r in best] == sorted((-r["f1"], r["grid_ord"]) for r in best) and len(best) == 10
