@@ -10,13 +10,15 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import no_text_is_empty, null_id
+from .common import no_collection, no_text_is_empty, null_id
 from .tokens import BLOCK, PLAIN, UNSPACED, blocks, byte_letters
 
 #: Words kept in each of two generations, and parts kept.
 CACHED = 300_000
 #: Symbols fed at once.
 STEP = 1 << 12
+#: Lengths of the words' heads whose last tokens are kept, and the number of heads kept.
+HEADS, HEADS_KEPT = (8, 6, 4), 300_000
 
 #: The letters in order of their bytes, and back.
 LETTERS = byte_letters()
@@ -38,7 +40,9 @@ class Merges:
         self.made = {t: self.rank[x] for t, x in self.parts.items()}
         if len(self.parts) != len(self.rank):
             raise ValueError("two merges make the same token")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: For each token what is known of holds(left, token), by left.
+        self.pairs: dict[str, dict[str, bool]] = {t: {} for t in self.tokens}
+        self.kept = 0
         self.ends: dict[str, int] = {}
         for t in self.tokens:
             s = self.symbols(t)
@@ -58,12 +62,15 @@ class Merges:
         first). Had the two tokens then at the border a merge that comes before
         those undone, it would have gone first.
         """
-        known = self.pairs.get((left, right))
+        known = self.pairs[right].get(left)
         if known is None:
             known = self.undone(left, right)
-            if len(self.pairs) > 4 * CACHED:
-                self.pairs.clear()
-            self.pairs[left, right] = known
+            if self.kept > 4 * CACHED:
+                self.kept = 0
+                for lefts in self.pairs.values():
+                    lefts.clear()
+            self.kept += 1
+            self.pairs[right][left] = known
         return known
 
     def undone(self, left: str, right: str) -> bool:
@@ -95,25 +102,40 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.m = merges
+        #: The last tokens of a word's first prefixes, by its head; they do not depend on what follows.
+        self.heads: dict[str, tuple] = {}
         self.start()
 
     def start(self) -> None:
         self.text: list[str] = []  # symbols behind the stable point
         self.last = [("", 0)]  # of each prefix from the stable point on: its last token and that token's length
         self.new = 0
+        self.begun = False
 
     def feed(self, symbols) -> list[str]:
-        out, m = [], self.m
-        tokens, ends, known = m.tokens, m.ends, m.pairs
-        for x in symbols:
-            text, last = self.text, self.last
+        out, m, head = [], self.m, 0
+        pairs, ends, text, last = m.pairs, m.ends, self.text, self.last
+        learns = not self.begun and isinstance(symbols, str)
+        self.begun = True
+        if learns:
+            for n in HEADS:
+                found = self.heads.get(symbols[:n]) if n <= len(symbols) else None
+                if found is not None:
+                    head = self.new = n
+                    text += symbols[:n]
+                    last += found
+                    break
+        i = len(text)
+        for x in symbols[head:]:
             text.append(x)
-            i, token = len(text), ""
+            i += 1
+            token = ""
             for n in range(1, min(i, ends.get(x, 1)) + 1):
                 token = text[i - n] + token
-                if token in tokens:
+                lefts = pairs.get(token)
+                if lefts is not None:
                     left = last[i - n][0]
-                    ok = known.get((left, token))
+                    ok = lefts.get(left)
                     if m.holds(left, token) if ok is None else ok:
                         last.append((token, n))
                         break
@@ -121,7 +143,15 @@ class Transducer:
                 raise ValueError(f"no token ends at {x!r}")
             self.new += 1
             if self.new >= 4 * m.lookahead:
+                learns = False
                 out += self.settle()
+                text, last, i = self.text, self.last, len(self.text)
+        if learns:
+            for n in HEADS:
+                if head < n <= i:
+                    if len(self.heads) >= HEADS_KEPT:
+                        self.heads.clear()
+                    self.heads[symbols[:n]] = tuple(last[1 : n + 1])
         return out
 
     def path(self, i: int) -> list[str]:
@@ -162,7 +192,7 @@ class Decoder:
 
     def __init__(self, names: dict[int, str], plain: bool):
         self.names, self.plain = names, plain
-        self.state, self.begun = codecs.getincrementaldecoder("utf-8")("replace"), False
+        self.state, self.begun = None if plain else codecs.getincrementaldecoder("utf-8")("replace"), False
 
     def feed(self, ids) -> str:
         found = [self.names[i] for i in ids if i in self.names]
@@ -210,7 +240,11 @@ class WordBPE:
 
     def part(self, part: str) -> list[int]:
         """Ids of one part of a plain text's split."""
-        return [i for ids in self.stream("".join([LETTERS[b] for b in part.encode("utf-8")])) for i in ids]
+        symbols = part if part.isascii() else "".join([LETTERS[b] for b in part.encode("utf-8")])
+        if len(symbols) > STEP:
+            return [i for ids in self.stream(symbols) for i in ids]
+        t = self.transducer
+        return [self.vocab[x] for x in [*t.feed(symbols[:-1]), *t.feed([symbols[-1] + self.merges.suffix]), *t.end()]]
 
     def ids(self, text: str) -> list[int]:
         return [i for ids in self.lists(text) for i in ids]
@@ -233,7 +267,7 @@ class WordBPE:
     def of(self, word: str) -> tuple[int, bytes, bytes]:
         """coded() of a word of a plain text, from its parts, which are kept too; a part's tokens decode the same wherever it stands."""
         found = []
-        for part in self.split(word.lower()):
+        for part in (word.lower(),) if word.isascii() and word.isalpha() else self.split(word.lower()):
             x = self.known.get(part)
             if x is None:
                 x = self.coded(self.part(part))
@@ -253,12 +287,11 @@ class WordBPE:
         if None in found:
             if len(self.cache) > CACHED:
                 self.old, self.cache = self.cache, {}
-            for i, x in enumerate(found):
-                if x is None:
-                    w = words[i]
-                    found[i] = self.cache.get(w) or self.old.get(w) or self.of(w)
-                    if len(w) <= 64:
-                        self.cache[w] = found[i]
+            for i in [i for i, x in enumerate(found) if x is None]:
+                w = words[i]
+                found[i] = self.cache.get(w) or self.old.get(w) or self.of(w)
+                if len(w) <= 64:
+                    self.cache[w] = found[i]
         return found
 
     def digests(self, text: str) -> tuple[int, str, str]:
@@ -304,7 +337,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = code(path)
         for batch in batches:
-            got = [c.digests(t.as_py()) for t in batch["text"]]
+            with no_collection():
+                got = [c.digests(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = no_text_is_empty(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,6 +11,7 @@ Conventions of this subpackage, unless an operator says otherwise:
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -95,6 +96,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def no_collection():
+    """For loops that fill caches and make no cycles: the collector would walk the caches over and over."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def ids_repeat(rows: DataFrame) -> bool:
     return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
 

@@ -176,3 +176,17 @@ def test_token_files_of_repeated_and_missing_ids(spark):
     sizes = [r["n_tokens"] for r in got]
     assert [r["start"] for r in got] == [sum(sizes[:i]) for i in range(6)]
     assert sorted(sizes) == sorted(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
+def test_heads_of_words_are_kept_and_change_nothing(monkeypatch):
+    """Words that share their heads, with heads dropped now and then, and words that a stream feeds in pieces."""
+    monkeypatch.setattr(bpe, "HEADS_KEPT", 9)
+    lib, own = Tokenizer.from_file(public("word_bpe_49k.json")), bpe.WordBPE(public("word_bpe_49k.json"))
+    word = "internationalisierung" * 20
+    words = [word[i:j] + end for i in range(4) for j in range(i + 1, 26) for end in ("", "s", "é", "ing")] + [word, word[:9], word]
+    for w in words:
+        assert own.part(w) == lib.encode(w, add_special_tokens=False).ids
+    assert 0 < len(own.transducer.heads) <= 9 and own.transducer.text == []
+    t = own.transducer
+    got = [x for c in word[:40] for x in t.feed(c)] + t.feed([word[40] + own.merges.suffix]) + t.end()
+    assert [own.vocab[x] for x in got] == lib.encode(word[:41], add_special_tokens=False).ids
