@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The grid, fixed values.
@@ -13,6 +13,8 @@ MIN_CONF, GAPS, MIN_DUR = (0.0, 0.25, 0.35, 0.5, 0.65, 0.8), (0.0, 3.0, 6.0, 12.
 ROWS, PAIRS = 1 << 18, 1 << 21
 #: Rounds in which best pairs are taken all at once; the rest is taken one by one.
 ROUNDS = 20
+#: Parts that truth and predictions are dealt into at least; a task sorts one after another, so that few tasks are no reason to sort on disk.
+PARTS = 64
 
 
 def grid(spark, confs=MIN_CONF, gaps=GAPS, durs=MIN_DUR) -> DataFrame:
@@ -86,6 +88,59 @@ def taken(g: np.ndarray, p: np.ndarray, n_truth: int, n_pred: int) -> int:
     return out
 
 
+def packed(batches, most: int = ROWS):
+    """Batches as blocks, one for each bucket of about `most` rows: bucket, and the rows' other columns as a compressed stream."""
+    held, n = [], 0
+
+    def blocks():
+        rows = pa.Table.from_batches(held)
+        bucket = rows["bucket"].to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows.drop_columns("bucket").take(order), bucket[order]
+        starts, out = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), []
+        for a, b in zip(starts, [*starts[1:], len(bucket)]):
+            block = rows.slice(a, b - a).combine_chunks()
+            block = pa.table([c.dictionary_encode() if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c for c in block.columns], block.column_names)
+            sink = pa.BufferOutputStream()
+            with pa.CompressedOutputStream(sink, "zstd") as z, pa.ipc.new_stream(z, block.schema) as stream:
+                stream.write_table(block)
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
+
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= most:
+            yield blocks()
+            held, n = [], 0
+    if n:
+        yield blocks()
+
+
+def unpacked(batches):
+    """The rows of blocks."""
+    for batch in batches:
+        for block in batch["block"]:
+            with pa.input_stream(block.as_buffer(), compression="zstd") as z:
+                for rows in pa.ipc.open_stream(z):
+                    yield pa.RecordBatch.from_arrays([c.dictionary_decode() if pa.types.is_dictionary(c.type) else c for c in rows.columns], rows.schema.names)
+
+
+def firsts(batches, keys: list):
+    """Each batch, and which of its rows are the first of their keys; rows come in order of keys."""
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        first = np.zeros(len(batch), bool)
+        for k in keys:
+            code = batch[k].dictionary_encode("encode").indices.to_numpy()
+            first[1:] |= code[1:] != code[:-1]
+        first[0] = last != [batch[k][0].as_py() for k in keys]
+        last = [batch[k][-1].as_py() for k in keys]
+        yield batch, first
+
+
 def islands(batches, widest: float, threshold: float, most: int = ROWS):
     """Blocks of whole islands from batches of (first of its video and class, truth, t0, t1, confidence), with each row's island.
 
@@ -145,27 +200,39 @@ def sweep(truth: DataFrame, pred: DataFrame, configs: DataFrame, threshold: floa
     Truth and predictions are dealt by video and class once, whatever the number
     of configurations (a bounded list of the driver's making), and each task
     merges and matches its rows under one configuration after another. Only
-    counts leave it. What it holds is a block of rows, or the longest island: no
-    later row starts within the greatest gap of an island's end, so neither
-    merging nor matching crosses its border.
+    counts leave it. They are dealt as compressed blocks of columns, and of a
+    confidence only the number of thresholds it reaches is kept. What a task
+    holds is a block of rows, or the longest island: no later row starts within
+    the greatest gap of an island's end, so neither merging nor matching crosses
+    its border.
     """
     listed = [(r["min_conf"], r["gap_tol"], r["min_dur"], r["grid_ord"]) for r in configs.collect()]
     ords, rules = [x[3] for x in listed], [x[:3] for x in listed]
-    widest, lowest = max((x[1] for x in rules), default=0.0), min((x[0] for x in rules), default=0.0)
+    widest, confs = max((x[1] for x in rules), default=0.0), sorted({x[0] for x in rules})
+    keys, reached = ["video_id", "class_name"], np.array([0.0, *confs])
+
+    def deal(batches):
+        for b in batches:  # a truth has no confidence and reaches none; NaN is above all numbers, as for Spark and SQL
+            x = b["level"]
+            level = np.where(x.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(confs, x.to_numpy(zero_copy_only=False), "right"))
+            yield b.set_column(b.schema.get_field_index("level"), "level", pa.array(level, pa.int32()))
 
     def run(batches):
         total = np.zeros((len(rules), 2), np.int64)
-        for group, rows in islands(([b[c].to_numpy(zero_copy_only=False) for c in ("first", "truth", "t0", "t1", "confidence")] for b in batches), widest, threshold):
-            total += counts(group, *rows[1:], rules, threshold)
+        rows = ((first, level == 0, t0, t1, reached[level]) for b, first in firsts(batches, keys) for t0, t1, level in [[b[c].to_numpy() for c in ("t0", "t1", "level")]])
+        for group, block in islands(rows, widest, threshold):
+            total += counts(group, *block[1:], rules, threshold)
         yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int32()), pa.array(total[:, 0]), pa.array(total[:, 1])], ["grid_ord", "tp", "n_pred"])
 
     # what has no start, key or end can't be matched; a prediction without a start or end is no run, and adds nothing to one
     g = truth.where("video_id IS NOT NULL AND class_name IS NOT NULL AND t0 IS NOT NULL AND t1 IS NOT NULL")
-    p = pred.where("t0 IS NOT NULL AND t1 IS NOT NULL").where(F.col("confidence") >= lowest)
-    columns = ["video_id", "class_name", "event_id", "t0", "t1"]
-    both = g.select(*columns, F.lit(0.0).alias("confidence"), F.lit(True).alias("truth")).unionByName(p.select(*columns, "confidence", F.lit(False).alias("truth")))
-    first = F.row_number().over(Window.partitionBy("video_id", "class_name").orderBy("t0", "event_id")) == 1
-    rows = both.select(first.alias("first"), "truth", "t0", "t1", "confidence")
+    p = pred.where("t0 IS NOT NULL AND t1 IS NOT NULL").where(F.col("confidence") >= (confs[0] if confs else 0.0))
+    columns = [*keys, "event_id", "t0", "t1"]
+    both = g.select(*columns, F.lit(None).cast("double").alias("level")).unionByName(p.select(*columns, F.col("confidence").cast("double").alias("level")))
+    tasks = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(PARTS, tasks)
+    dealt = both.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(n))).mapInArrow(lambda x: packed(deal(x)), "bucket int, block binary").repartitionById(n, "bucket")
+    rows = dealt.mapInArrow(unpacked, both.withColumn("level", F.lit(0)).schema).sortWithinPartitions(*keys, "t0", "event_id").coalesce(tasks).select(*keys, "t0", "t1", "level")
     found = rows.mapInArrow(run, "grid_ord int, tp long, n_pred long").groupBy("grid_ord").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"))
     out = configs.select("grid_ord").join(found, "grid_ord", "left").na.fill(0, ["tp", "n_pred"]).join(F.broadcast(truth.agg(F.count("*").alias("n_truth"))))
     return out.select("grid_ord", "tp", (F.col("n_pred") - F.col("tp")).alias("fa"), (F.col("n_truth") - F.col("tp")).alias("miss"))

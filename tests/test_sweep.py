@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanforge.operators import sweep as W
@@ -109,3 +110,63 @@ def test_best_shuffles_no_more_than_its_events(spark):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     assert 0 < written(spark) - before < 2 * spark.read.parquet(f"{SF}/events.parquet").count()
     assert [(-r["f1"], r["grid_ord"]) for r in best] == sorted((-r["f1"], r["grid_ord"]) for r in best) and len(best) == 10
+
+
+def shuffled(spark):
+    """Bytes shuffled since the session began."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_shuffle_is_narrow(spark):
+    """Times of 16 bytes a row that nothing makes shorter, and little more."""
+    n = 200_000
+    rows = spark.range(n, numPartitions=2).selectExpr(
+        f"id * 7919 % {n // 10} AS video_id", "element_at(array('click', 'view', 'purchase', 'signup', 'error'), int(1 + id % 5)) AS class_name", "720 * rand(1) AS t0", "720 + rand(2) AS t1", "int(100 * rand(3)) / 100 AS confidence", "id AS event_id"
+    )
+    before = shuffled(spark)
+    W.sweep(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "grid_ord int, min_conf double, gap_tol double, min_dur double"), 0.3).collect()
+    assert 0 < shuffled(spark) - before < 25 * n
+
+
+@pytest.mark.parametrize("partitions", ["1", "200"])
+def test_few_tasks_are_no_reason_for_large_sorts(spark, partitions):
+    truth, pred = (spark.createDataFrame(some(400, s), COLUMNS) for s in (5, 6))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        plan = W.sweep(truth, pred, W.grid(spark), 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert str(max(W.PARTS, int(partitions))) in next(x for x in plan.splitlines() if "RepartitionBy" in x)
+
+
+def test_no_number_is_above_all_confidences(spark):
+    truth, pred = some(150, 7), [x[:4] + ((float("nan") if i % 3 else x[4]), x[5]) for i, x in enumerate(some(200, 8))]
+    configs = spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "grid_ord int, min_conf double, gap_tol double, min_dur double")
+    got = W.sweep(*(spark.createDataFrame(x, COLUMNS) for x in (truth, pred)), configs, 0.3).orderBy("grid_ord").collect()
+    sure = [x[:4] + (2.0 if x[4] != x[4] else x[4], x[5]) for x in pred]
+    assert [(r["tp"], r["fa"] + r["tp"]) for r in got] == [plain(truth, sure, r) for r in RULES]
+
+
+@pytest.mark.parametrize(("most", "batch"), [(1, 1), (7, 3), (1 << 18, 50)])
+def test_blocks_hold_every_row(most, batch):
+    rows = [{"k": x[0], "c": x[1], "t": x[3], "id": x[5], "bucket": hash(x[:2]) % 4} for x in some(200, 9)]
+    schema = pa.schema([("k", pa.int64()), ("c", pa.string()), ("t", pa.float64()), ("id", pa.int64()), ("bucket", pa.int32())])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + batch], schema=schema) for i in range(0, len(rows), batch)]
+    blocks = [x for b in W.packed(iter(batches), most) for x in b.to_pylist()]
+    assert most == 1 or len(blocks) < len(rows)
+    for bucket in range(4):
+        got = W.unpacked([pa.RecordBatch.from_pylist([{"block": x["block"]}]) for x in blocks if x["bucket"] == bucket])
+        assert [x for b in got for x in b.to_pylist()] == [{c: v for c, v in x.items() if c != "bucket"} for x in rows if x["bucket"] == bucket]
+
+
+def test_firsts_of_keys_across_batches():
+    rows = sorted(((x[0], x[1]) for x in some(60, 10)), key=str)
+    want = [i == 0 or rows[i] != rows[i - 1] for i in range(len(rows))]
+    for n in (1, 4, 60):
+        batches = [pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in rows[i : i + n]], schema=pa.schema([("a", pa.int64()), ("b", pa.string())])) for i in range(0, len(rows), n)]
+        empty = batches[0].slice(0, 0)
+        assert [x for _, first in W.firsts([empty, *batches, empty], ["a", "b"]) for x in first.tolist()] == want
