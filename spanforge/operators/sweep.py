@@ -233,6 +233,7 @@ def sweep(truth: DataFrame, pred: DataFrame, configs: DataFrame, threshold: floa
     n = max(PARTS, tasks)
     dealt = both.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(n))).mapInArrow(lambda x: packed(deal(x)), "bucket int, block binary").repartitionById(n, "bucket")
     rows = dealt.mapInArrow(unpacked, both.withColumn("level", F.lit(0)).schema).sortWithinPartitions(*keys, "t0", "event_id").coalesce(tasks).select(*keys, "t0", "t1", "level")
-    found = rows.mapInArrow(run, "grid_ord int, tp long, n_pred long").groupBy("grid_ord").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"))
+    # a row for each configuration and task: few parts, as each task writes a list of them
+    found = rows.mapInArrow(run, "grid_ord int, tp long, n_pred long").repartition(8, "grid_ord").groupBy("grid_ord").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"))
     out = configs.select("grid_ord").join(found, "grid_ord", "left").na.fill(0, ["tp", "n_pred"]).join(F.broadcast(truth.agg(F.count("*").alias("n_truth"))))
     return out.select("grid_ord", "tp", (F.col("n_pred") - F.col("tp")).alias("fa"), (F.col("n_truth") - F.col("tp")).alias("miss"))

@@ -140,7 +140,7 @@ def test_few_tasks_are_no_reason_for_large_sorts(spark, partitions):
         plan = W.sweep(truth, pred, W.grid(spark), 0.3)._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-    assert str(max(W.PARTS, int(partitions))) in next(x for x in plan.splitlines() if "RepartitionBy" in x)
+    assert str(max(W.PARTS, int(partitions))) in next(x for x in plan.splitlines() if "RepartitionBy" in x and "bucket" in x)
 
 
 def test_no_number_is_above_all_confidences(spark):
